@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import neighbours
+from lookalike.llm import edits, groups, neighbours, survivors
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,5 +15,25 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "metadata"))
 
 
-QUERIES = {"p1_found": p1_found}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return groups.grouped(table(spark, folder, "edges"), table(spark, folder, "metadata"))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return edits.found(table(spark, folder, "metadata"))
+
+
+def p4_classes(spark: SparkSession, folder: str) -> DataFrame:
+    return edits.classes(table(spark, folder, "metadata"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.survivors(table(spark, folder, "clusters"), table(spark, folder, "metadata"))
+
+
+def p5_merged(spark: SparkSession, folder: str) -> DataFrame:
+    return survivors.merged(table(spark, folder, "clusters"), table(spark, folder, "metadata"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_classes, p5_found, p5_merged)}
+SQL: dict[str, str] = dict(survivors.SQL)

@@ -23,8 +23,10 @@ from lookalike.catalog import current_rows
 
 DIMS = 64
 MODES = ("visual", "faces")
-#: Differing sketch bits up to which a pair is verified: at cosine 0.82 the mean is 12.4, sd 3.2.
-SKETCH_BITS = 23
+#: Of 128 sketch bits, the differing ones up to which a pair is verified: at cosine 0.82 the mean is 24.8, sd 4.5.
+SKETCH_BITS = 38
+#: Low bits of a place: three further axes, by which hot buckets are split.
+DEEP_BITS = 21
 #: Rows of one bucket from which it is split by further axes.
 HOT_BUCKET = 4000
 
@@ -152,24 +154,24 @@ def nearest_axes(unit: np.ndarray, k: int, probes: int) -> tuple[np.ndarray, np.
 
 def functions_for(contents_count: int) -> int:
     """Hash functions joined in one bucket name, so that chance bucket mates stay few as contents grow."""
-    return max(2, round(math.log(max(contents_count, 1) / 16, 2 * DIMS)))
+    return min(4, max(2, round(math.log(max(contents_count, 1) / 16, 2 * DIMS))))
 
 
 def bucket_rows(catalog: DataFrame, tables: int, probes: int, functions: int, dims: int = DIMS) -> DataFrame:
-    """(bucket, deep, sketch, cid): every frame of every content in its best `probes` buckets of each
-    table. Multiprobe order: least squared loss, summed over the functions, first. deep holds three
-    further axes, by which hot buckets are split; sketch has the signs of 64 random projections."""
+    """(place, s, t, cid): every frame of every content in its best `probes` buckets of each table.
+    Multiprobe order: least squared loss, summed over the functions, first. A place is the bucket and,
+    in its low bits, three further axes; s and t have the signs of 128 random projections."""
     wide = 2 * (1 << (dims - 1).bit_length())
 
     def hash_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = np.random.default_rng(77).standard_normal((dims, 64)).astype(np.float32)
+        planes = np.random.default_rng(77).standard_normal((dims, 128)).astype(np.float32)
         for batch in batches:
             for mode, _, ids, counts, frames in contents(batch, dims):
                 ids, counts, frames = first_of_each(ids, counts, frames)
                 unit = frames / np.linalg.norm(frames.astype(np.float64), axis=1, keepdims=True)
                 unit = unit.astype(np.float32)
                 cid = np.repeat(ids, counts)
-                sketch = np.packbits(unit @ planes > 0, axis=1).view(np.int64).ravel()
+                sketch = np.packbits(unit @ planes > 0, axis=1).view(np.int64)
                 deep = np.zeros(len(unit), np.int64)
                 for k in range(3):
                     deep = deep * wide + nearest_axes(unit, 500 + k, 1)[0][:, 0]
@@ -182,41 +184,43 @@ def bucket_rows(catalog: DataFrame, tables: int, probes: int, functions: int, di
                         best = np.argsort(loss, axis=1, kind="stable")[:, :probes]
                         code, loss = np.take_along_axis(code, best, 1), np.take_along_axis(loss, best, 1)
                     n = code.shape[1]
-                    bucket = ((t * len(MODES) + mode) << 48) + code.ravel()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(bucket), pa.array(np.repeat(deep, n)), pa.array(np.repeat(sketch, n)), pa.array(np.repeat(cid, n))],
-                        names=["bucket", "deep", "sketch", "cid"],
-                    )
+                    bucket = (((t * len(MODES) + mode) << 29) + code).ravel()
+                    columns = [(bucket << DEEP_BITS) + np.repeat(deep, n), np.repeat(sketch[:, 0], n), np.repeat(sketch[:, 1], n), np.repeat(cid, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["place", "s", "t", "cid"])
 
     read = catalog.select("mode", "vector", "faces").where(F.col("mode").isin(*MODES))
-    return read.mapInArrow(hash_frames, "bucket bigint, deep bigint, sketch bigint, cid bigint")
+    return read.mapInArrow(hash_frames, "place bigint, s bigint, t bigint, cid bigint")
 
 
 def close_in(rows: DataFrame, keys: list[str], sketch_bits: int) -> DataFrame:
+    """Pairs of different contents with equal keys and near sketches."""
     a, b = rows.alias("a"), rows.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys]
-    near = F.bit_count(F.col("a.sketch").bitwiseXOR(F.col("b.sketch"))) <= sketch_bits
-    on = (F.col("a.cid") < F.col("b.cid")) & near
-    for s in same:
-        on = s & on
+    differing = [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("s", "t")]
+    on = (F.col("a.cid") < F.col("b.cid")) & (differing[0] + differing[1] <= sketch_bits)
+    for k in keys:
+        on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on
     return a.join(b, on).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
 
 
-def candidate_pairs(buckets: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int = HOT_BUCKET) -> DataFrame:
+def candidate_pairs(places: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b), a < b: distinct contents that share a bucket and whose sketches are near.
 
-    The rows are shuffled once by bucket; counting and joining reuse that partitioning. A bucket of
-    more than `hot` rows, full of mutually similar contents, is split by further axes, one more for
-    each factor 32 of its size, and its parts are spread over tasks of their own: a member still meets
-    the contents nearest to it, and no task holds the whole bucket. No row is dropped.
+    The rows are shuffled once by bucket; counting and joining reuse that shuffle. A bucket of more than
+    `hot` rows, full of mutually similar contents, is split by further axes, one more for each factor 32
+    of its size, and its parts are spread over tasks of their own: a member still meets the contents
+    nearest to it, and no task holds the whole bucket. No row is dropped.
     """
-    placed = buckets.repartition("bucket")
-    large = placed.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    cold = close_in(placed.drop("deep").join(large, "bucket", "left_anti"), ["bucket"], sketch_bits)
+    bucket = F.expr(f"shiftright(place, {DEEP_BITS})")
+    placed = places.repartition(bucket).withColumn("bucket", bucket)
+    # any_bits only makes the count read the columns that the joins read, so that one shuffle serves both.
+    any_bits = F.max(F.col("s").bitwiseXOR(F.col("t")).bitwiseXOR(F.col("cid")))
+    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), any_bits.alias("any_bits"))
+    large = sizes.where((F.col("n") > hot) & F.col("any_bits").isNotNull()).select("bucket", "n")
+    cold = close_in(placed.join(large, "bucket", "left_anti"), ["bucket"], sketch_bits)
     level = F.least(F.lit(3), F.ceil(F.log(F.col("n") / hot) / F.log(F.lit(32.0))).cast("int"))
     split = placed.join(large.withColumn("level", level), "bucket")
-    split = split.select("bucket", F.expr("shiftright(deep, (3 - level) * 7)").alias("part"), "sketch", "cid")
-    crowded = close_in(split.repartition("bucket", "part").dropDuplicates(["bucket", "part", "cid", "sketch"]), ["bucket", "part"], sketch_bits)
+    split = split.select(F.expr("shiftright(place, (3 - level) * 7)").alias("part"), "s", "t", "cid")
+    crowded = close_in(split.repartition("part").dropDuplicates(["part", "cid", "s", "t"]), ["part"], sketch_bits)
     return cold.union(crowded).distinct()
 
 
