@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lookalike.catalog import current_rows
+from lookalike.session import stage_table
 
 DIMS = 64
 MODES = ("visual", "faces")
@@ -113,7 +114,8 @@ def packed_contents(catalog: DataFrame, dims: int = DIMS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), packed], names=["cid", "frames"])
 
     read = catalog.select("mode", "vector", "faces").where(F.col("mode").isin(*MODES))
-    return read.mapInArrow(pack, "cid bigint, frames binary").dropDuplicates(["cid"])
+    # Partitioned first: the one sort by cid then serves both dropping repeats and joining.
+    return read.mapInArrow(pack, "cid bigint, frames binary").repartition("cid").dropDuplicates(["cid"])
 
 
 def hadamard(n: int) -> np.ndarray:
@@ -192,36 +194,57 @@ def bucket_rows(catalog: DataFrame, tables: int, probes: int, functions: int, di
     return read.mapInArrow(hash_frames, "place bigint, s bigint, t bigint, cid bigint")
 
 
-def close_in(rows: DataFrame, keys: list[str], sketch_bits: int) -> DataFrame:
-    """Pairs of different contents with equal keys and near sketches."""
-    a, b = rows.alias("a"), rows.alias("b")
-    differing = [F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in ("s", "t")]
-    on = (F.col("a.cid") < F.col("b.cid")) & (differing[0] + differing[1] <= sketch_bits)
-    for k in keys:
-        on = (F.col(f"a.{k}") == F.col(f"b.{k}")) & on
-    return a.join(b, on).select(F.col("a.cid").alias("a"), F.col("b.cid").alias("b"))
+def mates(key: np.ndarray, s: np.ndarray, t: np.ndarray, cid: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of different contents with equal keys and near sketches; key is sorted. Row i meets row
+    i + d for d = 1, 2, ... as long as any key reaches that far."""
+    s, t = s.view(np.uint64), t.view(np.uint64)  # of a signed number the bits of its absolute value are counted
+    low, high, i, d = [], [], np.arange(len(key) - 1), 1
+    while len(i):
+        i = i[: np.searchsorted(i, len(key) - d)]
+        i = i[key[i] == key[i + d]]
+        near = np.bitwise_count(s[i] ^ s[i + d]) + np.bitwise_count(t[i] ^ t[i + d]) <= bits
+        x, y = cid[i[near]], cid[i[near] + d]
+        low.append(np.minimum(x, y))
+        high.append(np.maximum(x, y))
+        d += 1
+    if not low:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
+    pairs = pairs[:, pairs[0] != pairs[1]]
+    return pairs[0], pairs[1]
 
 
 def candidate_pairs(places: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b), a < b: distinct contents that share a bucket and whose sketches are near.
 
-    The rows are shuffled once by bucket; counting and joining reuse that shuffle. A bucket of more than
-    `hot` rows, full of mutually similar contents, is split by further axes, one more for each factor 32
-    of its size, and its parts are spread over tasks of their own: a member still meets the contents
-    nearest to it, and no task holds the whole bucket. No row is dropped.
+    Bucket sizes are counted first, with map-side combining. A bucket of more than `hot` rows, full of
+    mutually similar contents, is split by further axes, one more for each factor 32 of its size: a
+    member still meets the contents nearest to it, and no task holds the whole bucket. No row is dropped.
+    Then the rows are shuffled once and sorted by bucket, and bucket mates are compared as they pass.
     """
     bucket = F.expr(f"shiftright(place, {DEEP_BITS})")
-    placed = places.repartition(bucket).withColumn("bucket", bucket)
-    # any_bits only makes the count read the columns that the joins read, so that one shuffle serves both.
-    any_bits = F.max(F.col("s").bitwiseXOR(F.col("t")).bitwiseXOR(F.col("cid")))
-    sizes = placed.groupBy("bucket").agg(F.count("*").alias("n"), any_bits.alias("any_bits"))
-    large = sizes.where((F.col("n") > hot) & F.col("any_bits").isNotNull()).select("bucket", "n")
-    cold = close_in(placed.join(large, "bucket", "left_anti"), ["bucket"], sketch_bits)
+    sizes = places.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > hot)
     level = F.least(F.lit(3), F.ceil(F.log(F.col("n") / hot) / F.log(F.lit(32.0))).cast("int"))
-    split = placed.join(large.withColumn("level", level), "bucket")
-    split = split.select(F.expr("shiftright(place, (3 - level) * 7)").alias("part"), "s", "t", "cid")
-    crowded = close_in(split.repartition("part").dropDuplicates(["part", "cid", "s", "t"]), ["part"], sketch_bits)
-    return cold.union(crowded).distinct()
+    large = stage_table(sizes.select("bucket", level.alias("level")), "large")
+    if large.isEmpty():
+        keyed = places.select((bucket * (1 << DEEP_BITS)).alias("key"), "s", "t", "cid")
+    else:
+        part = F.expr(f"shiftleft(shiftright(place, {DEEP_BITS} - 7 * level), {DEEP_BITS} - 7 * level) + level")
+        split = places.withColumn("bucket", bucket).join(large, "bucket", "left")
+        keyed = split.select(F.coalesce(part, F.col("bucket") * (1 << DEEP_BITS)).alias("key"), "s", "t", "cid")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
+            a, b = mates(*[r[:cut] for r in rows], sketch_bits)
+            held = [r[cut:] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        a, b = mates(*held, sketch_bits)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
 def verified(pairs: DataFrame, packed: DataFrame, least: float, dims: int = DIMS) -> DataFrame:
