@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import edits, groups, neighbours, survivors
+from lookalike.llm import edits, groups, leaks, neighbours, survivors, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -35,5 +35,22 @@ def p5_merged(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.merged(table(spark, folder, "clusters"), table(spark, folder, "metadata"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_classes, p5_found, p5_merged)}
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.encode(table(spark, folder, "documents"))
+
+
+def p6_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    return tokens.round_trip(table(spark, folder, "documents"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.found(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_tolerant(spark: SparkSession, folder: str) -> DataFrame:
+    """Overlaps with at most one substituted word in any 13."""
+    return leaks.overlaps(table(spark, folder, "documents"), table(spark, folder, "eval_items"), wrong=1)
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant)}
 SQL: dict[str, str] = dict(survivors.SQL)
