@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import edits, groups, leaks, neighbours, survivors, tokens
+from lookalike.llm import edits, groups, leaks, neighbours, residue, survivors, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -52,5 +52,13 @@ def p7_tolerant(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.overlaps(table(spark, folder, "documents"), table(spark, folder, "eval_items"), wrong=1)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.found(table(spark, folder, "documents"))
+
+
+def p8_residue(spark: SparkSession, folder: str) -> DataFrame:
+    return residue.residue_pieces(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant, p8_found, p8_residue)}
 SQL: dict[str, str] = dict(survivors.SQL)
