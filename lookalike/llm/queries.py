@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import edits, groups, leaks, neighbours, residue, survivors, tokens
+from lookalike.llm import communities, edits, groups, leaks, neighbours, residue, survivors, tokens
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "metadata"))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return communities.found(table(spark, folder, "metadata"))
+
+
+def p2_described(spark: SparkSession, folder: str) -> DataFrame:
+    return communities.described(table(spark, folder, "metadata"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return groups.grouped(table(spark, folder, "edges"), table(spark, folder, "metadata"))
 
@@ -60,5 +68,5 @@ def p8_residue(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_pieces(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant, p8_found, p8_residue)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_described, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant, p8_found, p8_residue)}
 SQL: dict[str, str] = dict(survivors.SQL)
