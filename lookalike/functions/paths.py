@@ -49,13 +49,11 @@ def holds_segment(path: str, segments: list[str]) -> Column:
 
 
 def normal(path: str = "path") -> Column:
-    """Doubled slashes, `.` and trailing slashes resolved. `..` is resolved level by level, up to eight."""
-    p = F.regexp_replace(F.col(path), "/+", "/")
-    p = F.regexp_replace(p, r"(/\.)+(?=/|$)", "")
-    for _ in range(8):
-        p = F.regexp_replace(p, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
-    p = F.regexp_replace(p, r"^(/\.\.)+(?=/|$)", "")
-    return F.when(F.col(path).startswith("/") & (F.regexp_replace(p, "/$", "") == ""), "/").otherwise(F.regexp_replace(p, "(?<=.)/$", ""))
+    """An absolute path with doubled slashes, `.`, `..` and trailing slashes resolved; null and empty give null."""
+    up = lambda done: F.regexp_replace(done, "/[^/]*$", "")
+    step = lambda done, part: F.when(part.isin("", "."), done).when(part == "..", up(done)).otherwise(F.concat(done, F.lit("/"), part))
+    found = F.aggregate(F.split(F.col(path), "/"), F.lit(""), step)
+    return F.when(F.col(path) != "", F.when(found == "", "/").otherwise(found))
 
 
 def matches_text(path: str, query: str) -> Column:

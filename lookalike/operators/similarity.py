@@ -20,15 +20,16 @@ BLOCK = 8192
 NEIGHBOURS = 256
 
 
-def usable(vectors: str = "vector") -> Column:
-    """A frame list without nulls, non-finite values and zero frames."""
+def usable(vectors: str = "vector", dims: int | None = None) -> Column:
+    """A frame list, of the given width if any, without nulls, non-finite values and zero frames."""
     good = lambda v: F.forall(v, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    return F.coalesce((F.size(vectors) > 0) & F.forall(vectors, good), F.lit(False))
+    wide = (lambda v: (F.size(v) == dims) & good(v)) if dims else good
+    return F.coalesce((F.size(vectors) > 0) & F.forall(vectors, wide), F.lit(False))
 
 
-def frames(items: DataFrame, vectors: str = "vector") -> DataFrame:
+def frames(items: DataFrame, vectors: str = "vector", dims: int | None = None) -> DataFrame:
     """(path, frame, vec) of items whose frames are all usable."""
-    return items.where(usable(vectors)).select("path", F.posexplode(vectors).alias("frame", "vec"))
+    return items.where(usable(vectors, dims)).select("path", F.posexplode(vectors).alias("frame", "vec"))
 
 
 def mean_vector(frames: DataFrame) -> list[float]:
@@ -150,13 +151,18 @@ def with_distance(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").withColumn("bits", least_distance("ha", "hb")).drop("ha", "hb")
 
 
-def edges(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector") -> DataFrame:
-    """(a, b, sim): the similarity graph of items (path, vector, dhash)."""
-    unit = centred(frames(items, vectors))
+def verified(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None) -> DataFrame:
+    """(a, b, peak, coverage, multi, sim) of all pairs of items that pass the prefilter."""
+    unit = centred(frames(items, vectors, dims))
     _, prefilter = bars(slider, mode)
     pairs = block_pairs(unit, min(prefilter, SAME_FRAME) if mode == "visual" else prefilter)
     counts = unit.groupBy("path").agg(F.count("*").alias("frames"))
-    verified = peak_and_coverage(pairs, counts, gated=mode == "visual").where(F.col("peak") >= prefilter)
+    return peak_and_coverage(pairs, counts, gated=mode == "visual").where(F.col("peak") >= prefilter)
+
+
+def edges(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None) -> DataFrame:
+    """(a, b, sim): the similarity graph of items (path, vector, dhash)."""
+    pairs = verified(items, slider, mode, vectors, dims)
     if mode == "visual":
-        verified = with_distance(verified, items.select("path", "dhash"))
-    return accepted(verified, slider, mode)
+        pairs = with_distance(pairs, items.select("path", "dhash"))
+    return accepted(pairs, slider, mode)
