@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def grid(rows: object) -> np.ndarray | None:
@@ -77,22 +78,22 @@ def frame_hash(image: np.ndarray | None) -> int | None:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def sharpness(grids: pd.Series) -> pd.Series:
     return grids.map(lambda g: laplacian_sharpness(grid(g)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def content_ratio(grids: pd.Series) -> pd.Series:
     return grids.map(lambda g: lit_ratio(grid(g)))
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def dhash(grids: pd.Series) -> pd.Series:
     return grids.map(lambda g: frame_hash(grid(g))).astype("Int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def watermark_score(frames: pd.Series) -> pd.Series:
     """Of a column of frame lists, one list per file."""
     return frames.map(lambda fs: static_share([grid(f) for f in fs]) if fs is not None and len(fs) else 0.0)

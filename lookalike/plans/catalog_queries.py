@@ -170,11 +170,11 @@ def quality_scores(spark, d):
 
 @query(
     f"""WITH {t.MEM} SELECT cluster_id, path, printf('%.1f MB', size / 1048576.0) AS size_mb, printf('%02d:%02d', floor({t.num('duration')})::bigint // 60, floor({t.num('duration')})::bigint % 60) AS length,
-  round(similarity * 100, 1) AS percent FROM mem"""
+  round(round(similarity * 1000, 6)) / 10 AS percent FROM mem"""
 )
 def display_columns(spark, d):
     rows = t.members(spark, d)
-    return rows.select("cluster_id", "path", media.size_mb().alias("size_mb"), media.minutes_seconds().alias("length"), F.round(F.col("similarity") * 100, 1).alias("percent"))
+    return rows.select("cluster_id", "path", media.size_mb().alias("size_mb"), media.minutes_seconds().alias("length"), (F.round(F.round(F.col("similarity") * 1000, 6)) / 10).alias("percent"))
 
 
 @query(
@@ -226,9 +226,9 @@ def finite_vectors(spark, d):
     return t.current(spark, d, ["vector"]).select("path", usable("vector", t.DIMS).alias("usable"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash, sha256(text) = sha256(trim(text)) AS trimmed FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
 def content_hashes(spark, d):
-    return t.table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("hash"), (F.sha2("text", 256) == F.sha2(F.trim("text"), 256)).alias("trimmed"))
+    return t.table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
 @query(f"WITH {t.CUR} SELECT path, round({t.side(1)} / {t.side(2)}, 6) AS ratio, CASE WHEN {t.side(1)} / {t.side(2)} >= 1.5 THEN 'TopToBottom' ELSE 'LeftToRight' END AS stacking FROM cur WHERE mode = 'visual' AND {t.sized()}")
