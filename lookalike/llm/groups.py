@@ -69,7 +69,7 @@ def matches(edges: DataFrame, catalog: DataFrame, nodes: DataFrame) -> DataFrame
     doubtful = known.where(sim < STRONG).select("u", "v")
     ends = doubtful.select("u").union(doubtful.select("v")).toDF("node").distinct()
     of_ends = nodes.join(ends, "node").select("node", "path")
-    rows = catalog.where(F.col("mode") == "visual").join(of_ends, "path")
+    rows = catalog.where(F.col("mode") == "visual").select("path", "mode", "last_scan", "dhash").join(of_ends, "path")
     hashes = current_rows(rows, ["node", "dhash"]).select("node", usable("dhash").alias("hashes"))
     both = doubtful.join(hashes.toDF("u", "x"), "u").join(hashes.toDF("v", "y"), "v")
     confirmed = both.where(within("x", "y", FRAME_BITS)).select("u", "v")
