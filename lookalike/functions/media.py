@@ -52,7 +52,7 @@ def quality_score() -> Column:
 
 
 def size_mb(size: str = "size") -> Column:
-    return F.format_string("%.1f MB", F.col(size) / F.lit(1_048_576.0))
+    return F.when(F.col(size).isNotNull(), F.format_string("%.1f MB", F.col(size) / F.lit(1_048_576.0)))
 
 
 def minutes_seconds(seconds: str = "duration") -> Column:

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,45 +43,77 @@ def centred(frames: DataFrame, mean: list[float] | None = None) -> DataFrame:
     return frames.withColumn("vec", F.transform(less, lambda x: x / F.when(norm > 0, norm).otherwise(1.0)))
 
 
-def block_pairs(frames: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
-    """(a, fa, b, fb, cos), a < b: frame pairs of different paths with a cosine of at least `least`.
+def in_blocks(frames: DataFrame, block: int) -> DataFrame:
+    """(i, j, own, path, frame, vec): every frame, once for each pair of hashed blocks that its own is in.
 
-    Exact. Frames fall into hashed blocks; each pair of blocks is one group, so a frame is sent to as many
-    groups as there are blocks and no task holds more than two blocks. Products are taken block by block.
+    Each pair of blocks is one group: a frame is sent to as many groups as there are blocks, and no task
+    holds more than two blocks.
     """
     many = max(1, -(-frames.count() // block))
     own = F.pmod(F.xxhash64("path", "frame"), F.lit(many)).cast("int")
     others = F.transform(F.sequence(F.lit(0), F.lit(many - 1)), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    sent = frames.withColumn("own", own).withColumn("at", F.explode(others)).select("at.i", "at.j", "own", "path", "frame", "vec")
-
-    def products(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        left, right = rows[rows["own"] == i], rows[rows["own"] == j]
-        out = []
-        if len(left) and len(right):
-            lp, rp = left["path"].to_numpy(), right["path"].to_numpy()
-            lf, rf = left["frame"].to_numpy(), right["frame"].to_numpy()
-            x, y = np.stack(left["vec"].to_numpy()), np.stack(right["vec"].to_numpy())
-            for lo in range(0, len(x), 1024):
-                dots = x[lo : lo + 1024] @ y.T
-                p, q = np.nonzero(dots >= least)
-                a, b = lp[p + lo], rp[q]
-                keep = a < b if i == j else a != b
-                out.append(pd.DataFrame({"a": a, "fa": lf[p + lo], "b": b, "fb": rf[q], "cos": dots[p, q]})[keep])
-        got = pd.concat(out) if out else pd.DataFrame({"a": [], "fa": [], "b": [], "fb": [], "cos": []})
-        swap = (got["a"] > got["b"]).to_numpy(dtype=bool)
-        got.loc[swap, ["a", "fa", "b", "fb"]] = got.loc[swap, ["b", "fb", "a", "fa"]].to_numpy()
-        return got
-
-    return sent.groupBy("i", "j").applyInPandas(products, "a string, fa int, b string, fb int, cos double")
-
-
-def nearest_frames(frames: DataFrame, k: int = NEIGHBOURS, least: float = -1.0) -> DataFrame:
-    """(path, frame, other, other_frame, cos, rank): the k nearest frames of other paths, ties by name."""
-    pairs = block_pairs(frames, least)
-    ways = pairs.select(F.col("a").alias("path"), F.col("fa").alias("frame"), F.col("b").alias("other"), F.col("fb").alias("other_frame"), "cos").union(
-        pairs.select("b", "fb", "a", "fa", "cos")
-    )
+    sent = frames.withColumn("own", own).withColumn("at", F.explode(others))
+    return sent.select("at.i", "at.j", "own", "path", "frame", "vec")
+
+
+def two_blocks(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(vectors, rows of the one block, rows of the other, order of each row's path, paths, frame numbers)."""
+    own = rows.column("own").to_numpy()
+    left, right = np.flatnonzero(own == rows.column("i")[0].as_py()), np.flatnonzero(own == rows.column("j")[0].as_py())
+    vectors = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+    path = rows.column("path").combine_chunks()
+    coded = path.dictionary_encode()
+    order = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), dtype=object), kind="stable"))
+    return vectors, left, right, order[coded.indices.to_numpy()], path, rows.column("frame").to_numpy()
+
+
+def block_pairs(frames: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+    """(a, fa, b, fb, cos), a < b: frame pairs of different paths with a cosine of at least `least`.
+
+    Exact: every two blocks meet in one group, and products are taken a slice of a block at a time.
+    """
+
+    def products(rows: pa.Table) -> pa.Table:
+        vectors, left, right, order, path, frame = two_blocks(rows)
+        found: list[tuple[np.ndarray, ...]] = []
+        for lo in range(0, len(left), 1024):
+            part = left[lo : lo + 1024]
+            dots = vectors[part] @ vectors[right].T
+            p, q = np.nonzero(dots >= least)
+            cos, p, q = dots[p, q], part[p], right[q]
+            keep = order[p] < order[q] if np.array_equal(left, right) else order[p] != order[q]
+            cos, p, q = cos[keep], p[keep], q[keep]
+            swap = order[p] > order[q]
+            found.append((np.where(swap, q, p), np.where(swap, p, q), cos))
+        a, b, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": path.take(pa.array(a)), "fa": pa.array(frame[a]), "b": path.take(pa.array(b)), "fb": pa.array(frame[b]), "cos": pa.array(cos)})
+
+    return in_blocks(frames, block).groupBy("i", "j").applyInArrow(products, "a string, fa int, b string, fb int, cos double")
+
+
+def nearest_frames(frames: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -> DataFrame:
+    """(path, frame, other, other_frame, cos, rank): the k nearest frames of other paths, ties by name.
+
+    Each two blocks keep k of each frame's neighbours, with those as near as the k-th; then the best of all
+    blocks are taken. So a frame passes on about k rows per block, not one per frame.
+    """
+
+    def best_of(rows: pa.Table) -> pa.Table:
+        vectors, left, right, order, path, frame = two_blocks(rows)
+        sides = [(left, right)] if np.array_equal(left, right) else [(left, right), (right, left)]
+        found: list[tuple[np.ndarray, ...]] = []
+        for one, other in sides:
+            for lo in range(0, len(one) if len(other) else 0, 1024):
+                part = one[lo : lo + 1024]
+                dots = vectors[part] @ vectors[other].T
+                dots[order[part][:, None] == order[other][None, :]] = -np.inf
+                least = np.partition(dots, -k, axis=1)[:, -k] if k < dots.shape[1] else np.full(len(part), -2.0)
+                p, q = np.nonzero(dots >= np.maximum(least, -2.0)[:, None] - 1e-9)
+                found.append((part[p], other[q], dots[p, q]))
+        a, b, cos = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"path": path.take(pa.array(a)), "frame": pa.array(frame[a]), "other": path.take(pa.array(b)), "other_frame": pa.array(frame[b]), "cos": pa.array(cos)})
+
+    ways = in_blocks(frames, block).groupBy("i", "j").applyInArrow(best_of, "path string, frame int, other string, other_frame int, cos double")
     best = Window.partitionBy("path", "frame").orderBy(F.round("cos", 9).desc(), "other", "other_frame")
     return ways.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

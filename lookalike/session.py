@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,6 +48,34 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cached_table(df: DataFrame, key: str) -> DataFrame:
+    """The table stored under a key in the shared folder, made from df if it isn't there yet. The key must
+    change with the inputs, like a fingerprint of the catalog with mode and threshold."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/lookalike/cache/{key}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def phase(spark: SparkSession, name: str, seconds: dict[str, float] | None = None) -> Iterator[None]:
+    """Names the jobs started inside, so that `cancel(spark, name)` ends them, and adds up their time."""
+    began = time.monotonic()
+    spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        if seconds is not None:
+            seconds[name] = seconds.get(name, 0.0) + time.monotonic() - began
+
+
+def cancel(spark: SparkSession, name: str) -> None:
+    spark.sparkContext.cancelJobGroup(name)
+
+
 def drop_staged() -> None:
     """Delete every table that stage_table wrote. Frames that read them must not be used afterwards."""
     for path, spark in list(_made.items()):

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import io
+import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lookalike.functions.image import frame_hash, laplacian_sharpness
+from lookalike.functions.image import frame_hash, laplacian_sharpness, shrink, static_share
 from lookalike.functions.paths import DOCUMENTS, IMAGES, VIDEOS
 
 #: Shares of a file's length at which frames are taken, by suffix, and the length up to which only the first is.
@@ -57,46 +58,113 @@ def pages(content: bytes) -> list[bytes]:
         return [book.read(n) for n in names]
 
 
-def read_frames(suffix: str, content: bytes) -> list[np.ndarray]:
+def read_video(content: bytes) -> tuple[list[np.ndarray], dict[str, object]]:
+    """(sampled frames, facts) by OpenCV; dark frames are passed over. Without it, no frames."""
+    try:
+        import cv2
+    except ImportError:
+        return [], {}
+    with tempfile.NamedTemporaryFile(suffix=".mp4") as f:  # the decoder reads only files; it goes with the worker's task
+        f.write(content)
+        f.flush()
+        film = cv2.VideoCapture(f.name)
+        count, fps = int(film.get(cv2.CAP_PROP_FRAME_COUNT)), film.get(cv2.CAP_PROP_FPS)
+        code = int(film.get(cv2.CAP_PROP_FOURCC))
+        facts = {"fps": fps, "duration": count / fps if fps > 0 else 0.0, "codec": "".join(chr(code >> 8 * k & 255) for k in range(4)).strip("\0 ").lower()}
+        stills = []
+        for i in indices(count, "video"):
+            film.set(cv2.CAP_PROP_POS_FRAMES, i)
+            ok, picture = film.read()
+            if ok and (grey := cv2.cvtColor(picture, cv2.COLOR_BGR2GRAY).astype(np.float64)).mean() > 20:
+                stills.append(grey)
+        return stills, facts
+
+
+def read_pdf(content: bytes) -> list[np.ndarray]:
+    """Sampled pages at half size by pypdfium2. Without it, none."""
+    try:
+        import pypdfium2
+    except ImportError:
+        return []
+    book = pypdfium2.PdfDocument(content)
+    return [np.asarray(book[i].render(scale=0.5).to_pil().convert("L"), np.float64) for i in indices(len(book), "pdf")]
+
+
+def read_frames(suffix: str, content: bytes) -> tuple[list[np.ndarray], dict[str, object]]:
+    """(sampled frames as luminances, facts) of a file by its suffix."""
+    if suffix in VIDEOS:
+        return read_video(content)
     if suffix in IMAGES:
         one = decode_picture(content)
-        return [] if one is None else [one]
+        return ([] if one is None else [one]), {}
     if suffix == "cbz":
         book = pages(content)
-        return [f for i in indices(len(book), "cbz") if (f := decode_picture(book[i])) is not None]
+        return [f for i in indices(len(book), "cbz") if (f := decode_picture(book[i])) is not None], {}
+    if suffix == "pdf":
+        return read_pdf(content), {}
     if suffix == "gif":
         try:
             from PIL import Image, ImageSequence
         except ImportError:
-            return []
+            return [], {}
         with Image.open(io.BytesIO(content)) as film:
             stills = [np.asarray(f.convert("L"), np.float64) for f in ImageSequence.Iterator(film)]
-        return [stills[i] for i in indices(len(stills), "gif")]
-    return []
+        return [stills[i] for i in indices(len(stills), "gif")], {}
+    return [], {}
+
+
+def chosen(suffix: str, stills: list[np.ndarray]) -> list[np.ndarray]:
+    """The frames to embed: of books only the sharpest page, the first on ties; else all."""
+    if suffix in ("cbz", "pdf") and stills:
+        return [stills[int(np.argmax([laplacian_sharpness(f) for f in stills]))]]
+    return stills
 
 
-FEATURES = "path string, resolution string, frames int, dhash array<bigint>, sharpness double, error string"
+FEATURES = "path string, resolution string, duration double, codec string, fps double, frames int, dhash array<bigint>, sharpness double, watermark double, vector array<array<float>>, error string"
+ROW = pa.schema(
+    [
+        ("path", pa.string()), ("resolution", pa.string()), ("duration", pa.float64()), ("codec", pa.string()), ("fps", pa.float64()), ("frames", pa.int32()), ("dhash", pa.list_(pa.int64())),
+        ("sharpness", pa.float64()), ("watermark", pa.float64()), ("vector", pa.list_(pa.list_(pa.float32()))), ("error", pa.string()),
+    ]
+)
+Embedder = Callable[[list[np.ndarray]], np.ndarray]
 
 
-def features(files: DataFrame) -> DataFrame:
-    """(path, resolution, frames, dhash, sharpness, error) of listed files with contents. A file that can't
-    be decoded gives a row without frames and the reason; pixels never leave the worker that decodes them."""
+def features(files: DataFrame, embedder: Callable[[], Embedder] | None = None) -> DataFrame:
+    """Catalog features of listed files with contents.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    A file that can't be decoded gives a row without frames and the reason. Decoding and embedding share
+    one stage, so pixels never leave the worker. `embedder` is called once per task and returns a function
+    from a list of luminance frames to as many vectors, which are brought to unit length; vectors of
+    different files are made in one call per batch. Without it vector is null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = embedder() if embedder else None
         for batch in batches:
-            rows = []
-            for path, content in zip(batch["path"], batch["content"]):
+            rows, queue, owners = [], [], []
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
                 name = path.rsplit("/", 1)[-1]
-                end, stills, error = name.rsplit(".", 1)[-1].lower() if "." in name[1:] else "", [], None
+                end, stills, facts, error = name.rsplit(".", 1)[-1].lower() if "." in name[1:] else "", [], {}, None
                 try:
-                    stills = read_frames(end, content)
+                    stills, facts = read_frames(end, content)
                     if not stills:
                         error = "no decoder" if end in IMAGES + VIDEOS + DOCUMENTS else "unknown kind"
                 except Exception as e:  # one unreadable file must not end the scan
                     error = type(e).__name__
-                size = f"{stills[0].shape[1]}x{stills[0].shape[0]}" if stills else None
-                sharp = max(map(laplacian_sharpness, stills), default=None)
-                rows.append((path, size, len(stills), [frame_hash(f) for f in stills], sharp, error))
-            yield pd.DataFrame(rows, columns=["path", "resolution", "frames", "dhash", "sharpness", "error"])
-
-    return files.select("path", "content").mapInPandas(run, FEATURES)
+                picked = chosen(end, stills)
+                queue += picked
+                owners += [len(rows)] * len(picked)
+                row = {"path": path, "frames": len(stills), "dhash": [frame_hash(f) for f in stills], "error": error, **facts}
+                row["resolution"] = f"{stills[0].shape[1]}x{stills[0].shape[0]}" if stills else None
+                row["sharpness"] = max(map(laplacian_sharpness, stills), default=None)
+                row["watermark"] = static_share([shrink(f, 90, 160) for f in stills]) if end in VIDEOS and stills else 0.0
+                rows.append(row)
+            if model and queue:
+                vectors = np.asarray(model(queue), np.float32)
+                norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+                for owner, v in zip(owners, vectors / np.where(norms > 0, norms, 1)):
+                    rows[owner].setdefault("vector", []).append(v.tolist())
+            yield pa.RecordBatch.from_pylist(rows, ROW)
+
+    return files.select("path", "content").mapInArrow(run, FEATURES)

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -248,3 +249,21 @@ def test_event_states(spark):
     assert {r.path: r.event_type for r in events.last_states(df).collect()} == {"/a": "created", "/b": "created"}
     twice = events.coalesced(df.union(df)).where("path = '/a'").collect()
     assert sorted(r.events for r in twice) == [2, 2]
+
+
+def test_features_embed_and_pick(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.jpg").write_bytes(b"x")
+    rows = files.listing(spark, [str(tmp_path)], content=True)
+    got = readers.features(rows, lambda: lambda frames: np.array([[3.0, 4.0]] * len(frames))).first()
+    assert got.error and got.vector is None and got.frames == 0
+    blurred, sharp = np.full((20, 20), 9.0), np.tile([0.0, 200.0], (20, 10))
+    assert readers.chosen("pdf", [blurred, sharp, sharp])[0] is sharp and len(readers.chosen("gif", [blurred, sharp])) == 2
+
+
+def test_phases_and_cached_tables(spark):
+    from lookalike.session import cached_table, phase
+
+    took, key = {}, f"test-{time.time_ns()}"
+    with phase(spark, "count", took):
+        assert cached_table(spark.range(3), key).count() == 3
+    assert took["count"] > 0 and cached_table(spark.range(9), key).count() == 3
