@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import time
 import uuid
@@ -48,6 +49,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Drop the shuffle files of frames that are no longer referenced. Spark removes them when the driver
+    collects its garbage, which between the rounds of an iteration may be much later than the disks fill."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cached_table(df: DataFrame, key: str) -> DataFrame:
     """The table stored under a key in the shared folder, made from df if it isn't there yet. The key must
     change with the inputs, like a fingerprint of the catalog with mode and threshold."""
