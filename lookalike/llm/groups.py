@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookalike.catalog import current_rows
-from lookalike.session import stage_table
+from lookalike.session import release, stage_table
 
 STRONG, WEAK, FRAME_BITS = 0.5925, 0.4125, 4
 LEAST_BITS, MOST_BITS = 5, 59
@@ -98,6 +98,7 @@ def components(links: DataFrame) -> DataFrame:
         forest = gone if forest is None else forest.union(gone)
         kept = pointed.join(choice.select("n", "best"), "n").where(F.col("m") != F.col("best"))
         graph = stage_table(both_ways(kept.select(F.col("best").alias("u"), F.col("m").alias("v"))), "graph")
+        release(graph.sparkSession)
     if forest is None:
         return links.select(F.col("u").alias("node"), F.col("u").alias("seed")).limit(0)
     tree = stage_table(forest, "forest")
