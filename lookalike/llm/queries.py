@@ -15,6 +15,10 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.found(table(spark, folder, "metadata"))
 
 
+def p1_recall(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.recall(table(spark, folder, "metadata"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return communities.found(table(spark, folder, "metadata"))
 
@@ -68,5 +72,5 @@ def p8_residue(spark: SparkSession, folder: str) -> DataFrame:
     return residue.residue_pieces(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_described, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant, p8_found, p8_residue)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_described, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant, p8_found, p8_residue)}
 SQL: dict[str, str] = dict(survivors.SQL)
