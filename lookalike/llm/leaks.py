@@ -18,8 +18,8 @@ MASKS = ("1101101110111", "1110111011011")
 #: Bytes of evaluation text that one pass over the corpus holds at most.
 BLOCK_BYTES = 16_000_000
 
-_UNSEEN = re.compile("[­​-‍⁠﻿]")
-_BROKEN = re.compile("(?<=[^\\W_])[-‐][ \t]*(?:\r\n|[\n\r\x0b\x0c\x85  ])[ \t]*(?=[^\\W_])")
+_UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+_BROKEN = re.compile("(?<=[^\\W_])[-\u2010][ \t]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[ \t]*(?=[^\\W_])")
 _WORD = re.compile(r"[^\W_]+")
 
 
