@@ -13,6 +13,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
+#: Removes the shuffle files of a query when it ends; not in every version of Spark.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_spark(cores: str = "8", name: str = "lookalike", **conf: object) -> SparkSession:
@@ -44,7 +46,14 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     its lineage nor depend on any one executor. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lookalike/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEAN_UP, None)
+    if before is not None:  # the table is written: nothing reads this job's shuffles again
+        spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(CLEAN_UP, before)
     _made[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
