@@ -225,7 +225,8 @@ def candidate_pairs(places: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int
     Bucket sizes are counted first, with map-side combining. A bucket of more than `hot` rows, full of
     mutually similar contents, is split by further axes, one more for each factor 32 of its size: a
     member still meets the contents nearest to it, and no task holds the whole bucket. No row is dropped.
-    Then the rows are shuffled once and sorted by bucket, and bucket mates are compared as they pass.
+    Then the rows are shuffled once and sorted by bucket, and bucket mates are compared as they pass. The
+    pairs are staged, so that the shuffle of the rows is gone before frames are fetched for them.
     """
     bucket = F.expr(f"shiftright(place, {DEEP_BITS})")
     sizes = places.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > hot)
@@ -249,7 +250,8 @@ def candidate_pairs(places: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int
         a, b = mates(*held, sketch_bits)
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint").distinct()
+    pairs = keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return stage_table(pairs, "candidates")
 
 
 def verified(pairs: DataFrame, packed: DataFrame, least: float, dims: int = DIMS) -> DataFrame:
