@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import atexit
 import gc
+import io
+import os
 import tempfile
 import time
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
 _made: dict[str, SparkSession] = {}
 #: Removes the shuffle files of a query when it ends; not in every version of Spark.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -41,6 +46,23 @@ def shared_dir(spark: SparkSession) -> str:
     return given
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers: once per application, unless PYTHONPATH has it."""
+    sc, root = spark.sparkContext, Path(__file__).parents[1]
+    if sc.applicationId in _shipped or str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        for source in sorted((root / "lookalike").rglob("*.py")):
+            z.write(source, source.relative_to(root))
+    at = sc._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lookalike/{sc.applicationId}/lookalike.zip")
+    out = at.getFileSystem(sc._jsc.hadoopConfiguration()).create(at, True)
+    out.write(packed.getvalue())
+    out.close()
+    sc.addPyFile(at.toString())
+    _shipped.add(sc.applicationId)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table to the shared folder and read it back: later steps neither repeat
     its lineage nor depend on any one executor. The table goes when the driver ends."""
