@@ -129,3 +129,21 @@ def grouped(edges: DataFrame, catalog: DataFrame) -> DataFrame:
     placed = components(matches(edges, catalog, nodes)).join(nodes, "node")
     placed = stage_table(placed.select("seed", "path"), "placed")
     return placed.join(placed.groupBy("seed").agg(F.min("path").alias("group_path")), "seed").select("path", "group_path")
+
+
+def _normal_sql(end: str) -> str:
+    steps = "lambda acc, x: CASE WHEN x IN ('', '.') THEN acc WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') ELSE acc || '/' || x END"
+    return f"list_reduce(list_prepend('', string_split(nfc_normalize({end}), '/')), {steps})"
+
+
+SQL = {
+    "p3_found": f"""WITH RECURSIVE cur AS (SELECT path, dhash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan DESC NULLS LAST) AS rn
+    FROM metadata WHERE mode = 'visual' AND path IS NOT NULL) WHERE rn = 1),
+  hs AS (SELECT path, h FROM (SELECT path, unnest(dhash) AS h FROM cur) WHERE bit_count(h) BETWEEN {LEAST_BITS} AND {MOST_BITS}),
+  e AS (SELECT {_normal_sql('a')} AS a, {_normal_sql('b')} AS b, max(sim) AS sim FROM edges WHERE a <> '' AND b <> '' AND NOT isnan(sim) AND sim >= {WEAK} GROUP BY 1, 2),
+  k AS (SELECT * FROM e WHERE a <> b AND a IN (SELECT path FROM metadata) AND b IN (SELECT path FROM metadata)),
+  m AS (SELECT a, b FROM k WHERE sim >= {STRONG} OR EXISTS (SELECT 1 FROM hs p JOIN hs q ON p.path = k.a AND q.path = k.b AND bit_count(xor(p.h, q.h)) <= {FRAME_BITS})),
+  l AS (SELECT a AS u, b AS v FROM m UNION SELECT b, a FROM m),
+  reach AS (SELECT u, u AS v FROM l UNION SELECT r.u, l.v FROM reach r JOIN l ON l.u = r.v)
+  SELECT u AS path, min(v) AS group_path FROM reach GROUP BY 1"""
+}
