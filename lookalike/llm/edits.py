@@ -23,7 +23,7 @@ from lookalike.session import stage_table
 BAND_BITS = 5
 BANDS = -(-64 // BAND_BITS)
 AGREEMENT = 0.5
-RECALL = 0.995
+RECALL = 0.9995
 
 
 def least_jaccard(bits: int = FRAME_BITS) -> float:
@@ -148,3 +148,17 @@ def classes(catalog: DataFrame) -> DataFrame:
     heads = own.groupBy("cls").agg(F.min("path").alias("class_path"), F.count("*").alias("copies"))
     each = own.join(heads.join(ends, "cls", "left"), "cls")
     return each.select("path", "class_path", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+SQL = {
+    "p4_found": f"""WITH cur AS (SELECT path, phash, dhash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan DESC NULLS LAST) AS rn
+    FROM metadata WHERE mode = 'visual' AND path IS NOT NULL) WHERE rn = 1),
+  hs AS (SELECT DISTINCT path, h FROM (SELECT path, unnest(dhash) AS h FROM cur) WHERE bit_count(h) BETWEEN 5 AND 59),
+  n AS (SELECT path, count(*) AS n FROM hs GROUP BY 1),
+  d AS (SELECT DISTINCT h FROM hs), near AS (SELECT x.h AS x, y.h AS y FROM d x JOIN d y ON bit_count(xor(x.h, y.h)) <= {FRAME_BITS}),
+  hit AS (SELECT a.path AS p, b.path AS q, a.h AS x, b.h AS y FROM hs a JOIN near ON near.x = a.h JOIN hs b ON b.h = near.y WHERE a.path < b.path),
+  c AS (SELECT p, q, least(count(DISTINCT x), count(DISTINCT y)) AS m FROM hit GROUP BY 1, 2),
+  ph AS (SELECT path, lower(phash) AS k FROM cur WHERE regexp_full_match(phash, '[0-9a-fA-F]{{64}}'))
+  SELECT p AS path_a, q AS path_b FROM c JOIN n a ON a.path = p JOIN n b ON b.path = q WHERE m >= {AGREEMENT} * greatest(a.n, b.n)
+  UNION SELECT x.path, y.path FROM ph x JOIN ph y ON x.k = y.k AND x.path < y.path"""
+}

@@ -73,4 +73,4 @@ def p8_residue(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_recall, p2_found, p2_described, p3_found, p4_found, p4_classes, p5_found, p5_merged, p6_ids, p6_round_trip, p7_found, p7_tolerant, p8_found, p8_residue)}
-SQL: dict[str, str] = survivors.SQL | groups.SQL
+SQL: dict[str, str] = survivors.SQL | groups.SQL | edits.SQL
