@@ -14,20 +14,26 @@ from lookalike.session import release, stage_table
 
 
 def similar_contents(
-    catalog: DataFrame, contents: DataFrame, least: float, tables: int = 8, probes: int | None = None, dims: int = V.DIMS
+    catalog: DataFrame, contents: DataFrame, k: int, least: float, tables: int = 8, probes: int | None = None, dims: int = V.DIMS, hot: int = V.HOT_BUCKET
 ) -> DataFrame:
-    """(a, b, sim), a < b: pairs of contents with similarity of at least `least`.
+    """(a, b, sim), a < b: pairs of contents with similarity of at least `least`, among them the k most
+    similar bucket mates of each.
 
-    Hash the frames by cross-polytope tables with multiprobe, gather bucket mates, verify exactly.
+    Hash the frames by cross-polytope tables with multiprobe, gather bucket mates, verify exactly. In buckets
+    of more than `hot` rows all are measured, and the k most similar of each are kept.
     Contents of older writes are hashed along; they fall away where pairs meet the current records.
     """
     functions = V.functions_for(contents.count())
-    pairs = V.candidate_pairs(V.bucket_rows(catalog, tables, probes or V.probes_for(functions), functions, dims))
-    return V.verified(pairs, V.packed_contents(catalog, dims), least, dims)
+    places, packed = V.bucket_rows(catalog, tables, probes or V.probes_for(functions), functions, dims), V.packed_contents(catalog, dims)
+    large = V.large_buckets(places, hot)
+    pairs = V.candidate_pairs(places, large=large, split=False)
+    if not large.isEmpty():
+        pairs = pairs.union(V.hot_pairs(places, large, contents, packed, k, least, hot, dims)).distinct()
+    return V.verified(pairs, packed, least, dims)
 
 
 def nearest(
-    catalog: DataFrame, k: int = 5, least: float = 0.82, tables: int = 8, probes: int | None = None, dims: int = V.DIMS
+    catalog: DataFrame, k: int = 5, least: float = 0.82, tables: int = 8, probes: int | None = None, dims: int = V.DIMS, hot: int = V.HOT_BUCKET
 ) -> DataFrame:
     """(mode, path, other, sim, rank): for each current record its k most similar other records.
 
@@ -40,7 +46,7 @@ def nearest(
     the k smallest paths of its group before any other content, so no group is paired with itself.
     """
     current = stage_table(V.current_contents(catalog, dims), "contents")
-    found = stage_table(similar_contents(catalog, current, least, tables, probes, dims), "similar")
+    found = stage_table(similar_contents(catalog, current, k, least, tables, probes, dims, hot), "similar")
     release(catalog.sparkSession)
     return expand(current, found, k)
 
@@ -106,7 +112,7 @@ def recall(catalog: DataFrame, k: int = 5, least: float = 0.82, every: int = 50,
     of_mode = current.select("cid", "mode").distinct()
     best = Window.partitionBy("q").orderBy(F.round("sim", 6).desc(), "cid")
     top = lambda rows: rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "cid")
-    found = stage_table(similar_contents(catalog, current, least, tables, probes), "similar")
+    found = stage_table(similar_contents(catalog, current, k, least, tables, probes), "similar")
     ways = found.select("a", "b", "sim").union(found.select("b", "a", "sim")).toDF("q", "cid", "sim").where(F.pmod("q", F.lit(every)) == 0)
     mine = top(ways.join(of_mode.select("cid"), "cid", "left_semi")).withColumn("hit", F.lit(1))
     modes = {}

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.catalog import current_rows
@@ -28,7 +28,7 @@ MODES = ("visual", "faces")
 SKETCH_BITS = 36
 #: Low bits of a place: three further axes, by which hot buckets are split.
 DEEP_BITS = 21
-#: Rows of one bucket from which it is split by further axes.
+#: Rows of one bucket from which it is hot, and frames in a block of a hot bucket.
 HOT_BUCKET = 4000
 
 
@@ -225,25 +225,38 @@ def mates(key: np.ndarray, s: np.ndarray, t: np.ndarray, cid: np.ndarray, bits:
     return pairs[0], pairs[1]
 
 
-def candidate_pairs(places: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int = HOT_BUCKET) -> DataFrame:
+def bucket_of() -> Column:
+    return F.expr(f"shiftright(place, {DEEP_BITS})")
+
+
+def large_buckets(places: DataFrame, hot: int = HOT_BUCKET) -> DataFrame:
+    """(bucket, level) of the buckets of more than `hot` rows, counted with map-side combining. The level is
+    how many further axes split it: one more for each factor 32 of its size."""
+    sizes = places.groupBy(bucket_of().alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    level = F.least(F.lit(3), F.ceil(F.log(F.col("n") / hot) / F.log(F.lit(32.0))).cast("int"))
+    return stage_table(sizes.select("bucket", level.alias("level")), "large")
+
+
+def candidate_pairs(places: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int = HOT_BUCKET, large: DataFrame | None = None, split: bool = True) -> DataFrame:
     """(a, b), a < b: distinct contents that share a bucket and whose sketches are near.
 
-    Bucket sizes are counted first, with map-side combining. A bucket of more than `hot` rows, full of
-    mutually similar contents, is split by further axes, one more for each factor 32 of its size: a
-    member still meets the contents nearest to it, and no task holds the whole bucket. No row is dropped.
+    A bucket of more than `hot` rows, full of mutually similar contents, is split by further axes, so that no
+    task holds the whole bucket. Members that differ in an axis do not meet there: `hot_pairs` compares
+    them all. Without `split` such buckets are left to it altogether.
     Then the rows are shuffled once and sorted by bucket, and bucket mates are compared as they pass. The
     pairs are staged, so that the shuffle of the rows is gone before frames are fetched for them.
     """
-    bucket = F.expr(f"shiftright(place, {DEEP_BITS})")
-    sizes = places.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    level = F.least(F.lit(3), F.ceil(F.log(F.col("n") / hot) / F.log(F.lit(32.0))).cast("int"))
-    large = stage_table(sizes.select("bucket", level.alias("level")), "large")
+    bucket = bucket_of()
+    large = large_buckets(places, hot) if large is None else large
     if large.isEmpty():
         keyed = places.select((bucket * (1 << DEEP_BITS)).alias("key"), "s", "t", "cid")
-    else:
+    elif split:
         part = F.expr(f"shiftleft(shiftright(place, {DEEP_BITS} - 7 * level), {DEEP_BITS} - 7 * level) + level")
-        split = places.withColumn("bucket", bucket).join(large, "bucket", "left")
-        keyed = split.select(F.coalesce(part, F.col("bucket") * (1 << DEEP_BITS)).alias("key"), "s", "t", "cid")
+        parts = places.withColumn("bucket", bucket).join(large, "bucket", "left")
+        keyed = parts.select(F.coalesce(part, F.col("bucket") * (1 << DEEP_BITS)).alias("key"), "s", "t", "cid")
+    else:
+        small = places.withColumn("bucket", bucket).join(large, "bucket", "left_anti")
+        keyed = small.select((F.col("bucket") * (1 << DEEP_BITS)).alias("key"), "s", "t", "cid")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = [np.zeros(0, np.int64)] * 4
@@ -260,6 +273,71 @@ def candidate_pairs(places: DataFrame, sketch_bits: int = SKETCH_BITS, hot: int
     return stage_table(pairs, "candidates")
 
 
+def best_of(left: np.ndarray, right: np.ndarray, cid: np.ndarray, order: np.ndarray, unit: np.ndarray, counts: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of left, row of right, sim): for each content of the left its `keep` most similar of the right,
+    ties by order. Products are taken for some left contents at a time."""
+    right = right[np.argsort(order[right], kind="stable")]
+    starts = np.cumsum(counts) - counts
+    rows = lambda some: np.repeat(starts[some] - (np.cumsum(counts[some]) - counts[some]), counts[some]) + np.arange(counts[some].sum())
+    others, n = unit[rows(right)].T, counts[right]
+    step = np.cumsum(counts[left]) // max(1, 4_000_000 // max(1, others.shape[1]))
+    found: list[tuple[np.ndarray, ...]] = [(left[:0], right[:0], np.zeros(0))]
+    for part in np.split(left, np.flatnonzero(np.diff(step)) + 1):
+        if len(part) and len(right):
+            m = counts[part]
+            dots = np.maximum.reduceat(unit[rows(part)] @ others, np.cumsum(m) - m, axis=0)
+            sims = np.maximum.reduceat(dots, np.cumsum(n) - n, axis=1).round(9)
+            sims[cid[part][:, None] == cid[right]] = -2
+            if len(right) > keep:
+                # All above the keep-th greatest, then those equal to it in their order, until there are `keep`.
+                bar = -np.partition(-sims, keep - 1, axis=1)[:, keep - 1 : keep]
+                above, level = sims > bar, sims == bar
+                chosen = above | (level & (np.cumsum(level, axis=1) <= keep - above.sum(axis=1, keepdims=True)))
+            else:
+                chosen = np.ones(sims.shape, bool)
+            i, j = np.nonzero(chosen & (sims > -2))
+            found.append((part[i], right[j], sims[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*found))
+
+
+def hot_pairs(places: DataFrame, large: DataFrame, current: DataFrame, packed: DataFrame, keep: int, least: float, block: int = HOT_BUCKET, dims: int = DIMS) -> DataFrame:
+    """(a, b), a < b: for each current content in a large bucket its `keep` most similar bucket mates of at
+    least `least`, ties by first path. current has (path, cid), packed (cid, frames).
+
+    Exact: a bucket is dealt into blocks by hashes, and every two of its blocks meet in one group, in which all
+    pairs are measured. No group holds more than two blocks of about `block` frames, and no more than `keep`
+    neighbours of a content leave it. Older contents are left out before neighbours are counted.
+    """
+    named = current.groupBy("cid").agg(F.min("path").alias("first"))
+    held = places.select(bucket_of().alias("bucket"), "cid").join(large.select("bucket"), "bucket", "left_semi").distinct().join(named, "cid")
+    held = stage_table(held, "hot")
+    packed = stage_table(packed.join(held.select("cid").distinct(), "cid", "left_semi"), "packed")
+    sized = held.join(packed.select("cid", (F.length("frames") / (2 * dims)).alias("n")), "cid")
+    many = sized.groupBy("bucket").agg(F.ceil(F.sum("n") / block).cast("int").alias("many"))
+    own = F.pmod(F.xxhash64("cid"), F.col("many")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    sent = held.join(many, "bucket").withColumn("own", own).join(packed, "cid").withColumn("at", F.explode(others))
+    schema = "cid bigint, near bigint, sim double, first string"
+
+    def measure(rows: pa.Table) -> pa.Table:
+        own, cid, first = rows.column("own").to_numpy(), rows.column("cid").to_numpy(), rows.column("first").to_pylist()
+        unit, counts = stacked(rows.column("frames").combine_chunks(), dims)
+        order = np.empty(len(first), np.int64)
+        order[sorted(range(len(first)), key=first.__getitem__)] = np.arange(len(first))
+        left, right = np.flatnonzero(own == rows.column("i")[0].as_py()), np.flatnonzero(own == rows.column("j")[0].as_py())
+        ways = [(left, right)] if np.array_equal(left, right) else [(left, right), (right, left)]
+        a, b, sim = (np.concatenate(c) for c in zip(*(best_of(x, y, cid, order, unit, counts, keep) for x, y in ways)))
+        a, b, sim = (c[sim >= least - 1e-9] for c in (a, b, sim))
+        return pa.table({"cid": cid[a], "near": cid[b], "sim": sim, "first": rows.column("first").take(pa.array(b))})
+
+    near = sent.select("bucket", "at.i", "at.j", "own", "cid", "first", "frames").groupBy("bucket", "i", "j").applyInArrow(measure, schema)
+    # Partitioned once: repeats from other buckets are dropped and neighbours ranked where the content is.
+    each = near.repartition("cid").groupBy("cid", "near").agg(F.max("sim").alias("sim"), F.first("first").alias("first"))
+    best = Window.partitionBy("cid").orderBy(F.desc("sim"), "first")
+    top = each.withColumn("n", F.row_number().over(best)).where(F.col("n") <= keep)
+    return stage_table(top.select(F.least("cid", "near").alias("a"), F.greatest("cid", "near").alias("b")).distinct(), "candidates")
+
+
 def verified(pairs: DataFrame, packed: DataFrame, least: float, dims: int = DIMS) -> DataFrame:
     """(a, b, sim) of the pairs whose greatest plain cosine between a frame of each is at least `least`."""
 

@@ -100,6 +100,29 @@ def test_hot_buckets_are_split_without_losing_the_nearest(spark):
     assert len(twins & split) >= 0.95 * len(twins)
 
 
+def test_nearest_in_hot_buckets_are_exact(spark):
+    rng = np.random.default_rng(12)
+    centre = rng.standard_normal(64)
+    rows = [row(f"/d/{i:03d}", [near(rng, centre, 0.23)] + [near(rng, centre, 0.23)] * (i % 9 == 0)) for i in range(500)]
+    old = [(r[0], r[1], at(0), [[float(x) for x in near(rng, centre, 0.01)]], None, 7) for r in rows[:30]]
+    df = spark.createDataFrame(rows + old, SCHEMA)
+    want = top_pairs(brute(rows))
+    got = {tuple(r) for r in neighbours.nearest(df, 5, hot=40).selectExpr("mode", "least(path, other)", "greatest(path, other)").collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
+    ids = {r.path: r.cid for r in vectors.current_contents(df).collect()}
+    split = {tuple(r) for r in vectors.candidate_pairs(vectors.bucket_rows(df, 8, 2, 2), hot=40).collect()}
+    assert sum(tuple(sorted((ids[p], ids[q]))) in split for _, p, q in want) < 0.95 * len(want)
+
+
+def test_equal_directions_in_hot_buckets_go_by_path(spark):
+    v = np.r_[1.0, np.arange(63) / 100]
+    rows = [row(f"/e/{(i * 37) % 100:03d}", [v * 2.0**(i - 50)]) for i in range(100)]
+    lists = {}
+    for r in sorted(neighbours.nearest(spark.createDataFrame(rows, SCHEMA), 3, hot=20).collect(), key=lambda r: r["rank"]):
+        lists.setdefault(r.path, []).append(r.other)
+    assert len(lists) == 100 and lists["/e/050"] == ["/e/000", "/e/001", "/e/002"] and lists["/e/001"] == ["/e/000", "/e/002", "/e/003"]
+
+
 def test_hadamard_and_rotations_keep_lengths():
     h = vectors.hadamard(8)
     assert np.allclose(h @ h.T, np.eye(8)) and set(np.round(h * math.sqrt(8)).ravel()) == {-1, 1}
