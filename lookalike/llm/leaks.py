@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Consecutive words that make a leak.
 RUN = 13
-#: Word positions that each mask reads; it ignores the others. Cut to the item where that is shorter.
+#: Word positions that each mask reads where no word may differ; it ignores the others. Cut to the item where that is shorter.
 MASKS = ("1101101110111", "1110111011011")
 #: Bytes of evaluation text that one pass over the corpus holds at most.
 BLOCK_BYTES = 16_000_000
@@ -31,6 +32,15 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def masks_for(wrong: int, run: int = RUN) -> tuple[str, ...]:
+    """Masks of which one ignores any `wrong` positions, also when cut short. Positions are dealt in turn into
+    wrong + 2 classes; a mask ignores `wrong` of these, and there is one for each choice of them."""
+    if not wrong:
+        return MASKS
+    classes = wrong + 2
+    return tuple("".join("0" if k % classes in ignored else "1" for k in range(run)) for ignored in combinations(range(classes), wrong))
+
+
 class Index:
     """Spaced seeds of one block of evaluation items."""
 
@@ -52,7 +62,7 @@ class Index:
             at = np.concatenate([self.start[i] + np.arange(self.length[i] - span + 1) for i in own])
             item = np.repeat(own, self.length[own] - span + 1)
             for mask in dict.fromkeys(m[:span] for m in masks):
-                read = np.array([k for k, c in enumerate(mask) if c == "1"])
+                read = np.array([k for k, c in enumerate(mask) if c == "1"], np.int64)
                 key = self.hash(self.words, at, read)
                 order = np.argsort(key, kind="stable")
                 self.seeds.append((int(span), read, key[order], item[order], (at - self.start[item])[order]))
@@ -71,6 +81,8 @@ class Index:
         found = [np.zeros((3, 0), np.int64)]
         for span, read, key, item, offset in self.seeds:
             at = np.flatnonzero(np.arange(len(ids)) + span <= ends[doc]) if len(ids) else np.zeros(0, np.int64)
+            if not len(read):  # all of the item may differ: any place of a document will do
+                at = at[np.unique(doc[at], return_index=True)[1]]
             for k in read:
                 at = at[ids[at + k] >= 0]
             own = self.hash(ids, at, read)
@@ -116,13 +128,14 @@ def blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]
 
 
 def overlaps(
-    documents: DataFrame, items: DataFrame, wrong: int = 0, run: int = RUN, masks: tuple[str, ...] = MASKS, block_bytes: int = BLOCK_BYTES
+    documents: DataFrame, items: DataFrame, wrong: int = 0, run: int = RUN, masks: tuple[str, ...] | None = None, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """(doc_id, item_id, words, substitutions): the longest overlap of each document with each item.
 
     An overlap is a stretch of aligned words, at least `run` of them or all of an item that has fewer,
-    with at most `wrong` substitutions in any so many. With wrong = 0 every overlap is found, as equal
-    words hash equally under any mask; with more, those whose substitutions some mask ignores somewhere.
+    with at most `wrong` substitutions in any so many. Every overlap is found: equal words hash equally under
+    any mask, and wherever the substitutions are, one of the masks of `masks_for` ignores them. So an item of
+    no more words than `wrong` overlaps with every document that has as many.
     Null, empty and wordless texts on either side overlap with nothing; rows without an id are passed
     over; repeated items count as one each; other columns are not read. The corpus is scanned once per
     block of items, whole texts, without a shuffle but for dropping repeats; a block's size is checked.
@@ -134,7 +147,7 @@ def overlaps(
         sent = spark.sparkContext.broadcast(block)
 
         def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, run, masks)
+            index = Index(sent.value, run, masks or masks_for(wrong, run))
             known = index.vocabulary
             for batch in batches:
                 doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()

@@ -1,5 +1,8 @@
 """Encoding, leaks and residue, on small texts."""
 
+from itertools import combinations
+
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -58,6 +61,23 @@ def test_substitutions(spark):
     assert found(spark, [one], [LONG]) == set()
 
 
+@pytest.mark.parametrize("n", [13, 14, *range(2, 13)])
+def test_a_substitution_at_any_place_is_found(spark, n):
+    words = [f"w{n}x{k}" for k in range(n)]
+    texts = [" ".join(["so", *words[:k], "other", *words[k + 1 :], "end"]) for k in range(n)]
+    assert found(spark, texts, [" ".join(words)], wrong=1) == {(k, 0) for k in range(n)}
+
+
+def test_masks_ignore_any_places_and_one_word_items():
+    for wrong in (1, 2, 3):
+        for span in range(1, 14):
+            for places in combinations(range(span), min(wrong, span)):
+                assert any(all(m[:span][k] == "0" for k in places) for m in leaks.masks_for(wrong))
+    index = leaks.Index([(5, "alone")], 13, leaks.masks_for(1))
+    ids, ends = np.array([-1, 0, -1]), np.array([2, 3])
+    assert {tuple(h) for h in index.hits(ids, np.array([0, 0, 1]), ends).T.tolist()} == {(0, 0, 0), (0, 0, 1), (1, 0, 2)}
+
+
 def test_blocks_and_repeated_rows_change_nothing(spark):
     items = [f"item {i} " + " ".join(f"w{i}x{j}" for j in range(20)) for i in range(30)]
     texts = [f"intro {items[3]} outro", "nothing", items[29], items[29]]
