@@ -123,6 +123,17 @@ def test_equal_directions_in_hot_buckets_go_by_path(spark):
     assert len(lists) == 100 and lists["/e/050"] == ["/e/000", "/e/001", "/e/002"] and lists["/e/001"] == ["/e/000", "/e/002", "/e/003"]
 
 
+def test_sketches_keep_pairs_at_the_bar():
+    rng, planes = np.random.default_rng(9), np.random.default_rng(77).standard_normal((64, 128))
+    a, b = rng.standard_normal((2, 50_000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(axis=1, keepdims=True) * a
+    b = 0.82 * a + math.sqrt(1 - 0.82**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    s, t = (np.packbits(np.stack([a, b], 1).reshape(-1, 64) @ planes > 0, axis=1).view(np.int64)).T
+    low, _ = vectors.mates(np.repeat(np.arange(50_000), 2), np.ascontiguousarray(s), np.ascontiguousarray(t), np.arange(100_000), vectors.SKETCH_BITS)
+    assert len(low) >= 0.999 * 50_000
+
+
 def test_hadamard_and_rotations_keep_lengths():
     h = vectors.hadamard(8)
     assert np.allclose(h @ h.T, np.eye(8)) and set(np.round(h * math.sqrt(8)).ravel()) == {-1, 1}
