@@ -152,8 +152,9 @@ def found(catalog: DataFrame, least: float = LEAST, dims: int = V.DIMS) -> DataF
     least `least` similar and none is to a record outside.
 
     Communities come from the neighbour graph; then they are checked exactly. Isolated cliques of the graph
-    hold as they are. Of the others, one with an edge to another is none; one with at least half of all its
-    pairs among the edges has the rest measured, no more than the edges found. Equal contents count with
+    hold as they are. Of the others, one with an edge to another is none; any other has its absent pairs
+    measured: first those of its smallest content, as one too unlike pair is proof enough, then all of what is
+    left. Edges to records outside are only those that the graph has. Equal contents count with
     their copies, at similarity 1. typical_path has the greatest mean similarity to the other members, ties
     by path. Records that take no part, empty tables and extra columns are treated as in `neighbours.nearest`.
     """
@@ -166,11 +167,20 @@ def found(catalog: DataFrame, least: float = LEAST, dims: int = V.DIMS) -> DataF
     inner = placed.where(F.col("ca") == F.col("cb")).select(F.col("ca").alias("community"), "a", "b", "sim")
     counts = inner.groupBy("community").agg(F.count("*").alias("pairs"))
     every = F.col("nodes") * (F.col("nodes") - 1) / 2
-    likely = counts.join(sizes, "community").join(leaking, "community", "left_anti").where(2 * F.col("pairs") >= every)
+    likely = counts.join(sizes, "community").join(leaking, "community", "left_anti")
     likely = stage_table(likely.select("community", "pairs", every.alias("every")), "likely")
-    short = likely.where(F.col("pairs") < F.col("every")).select("community").join(home, "community")
-    absent = short.select("community", F.col("cid").alias("a")).join(short.select("community", F.col("cid").alias("b")), "community").where(F.col("a") < F.col("b"))
-    absent = absent.join(inner, ["a", "b"], "left_anti").select("a", "b")
+    short = likely.where(F.col("pairs") < F.col("every")).select("community")
+
+    def missing(ends: DataFrame) -> DataFrame:
+        pairs = ends.join(home.toDF("b", "community"), "community").where(F.col("a") != F.col("b"))
+        pairs = pairs.select("community", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return pairs.join(inner.select("a", "b"), ["a", "b"], "left_anti")
+
+    least_of = short.join(home, "community").groupBy("community").agg(F.min("cid").alias("a"))
+    asked = missing(least_of)
+    unlike = asked.join(V.verified(asked.select("a", "b"), packed, least, dims).select("a", "b"), ["a", "b"], "left_anti").select("community").distinct()
+    short = stage_table(short.join(unlike, "community", "left_anti"), "short")
+    absent = missing(short.join(home.toDF("a", "community"), "community")).select("a", "b")
     measured = V.verified(absent, packed, least, dims).join(home.toDF("a", "community"), "a").select("community", "a", "b", "sim")
     full = stage_table(inner.join(likely, "community", "left_semi").union(measured), "full")
     whole = likely.join(full.groupBy("community").agg(F.count("*").alias("now")), "community").where(F.col("now") == F.col("every")).select("community")

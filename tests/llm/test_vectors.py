@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lookalike.llm import communities, neighbours, vectors
 
@@ -174,6 +175,19 @@ def test_cluster_of_copies_and_one_with_a_link_outside(spark):
     assert every["/k/1"] == 4 and set(every) == {r[0] for r in copies + chain}
 
 
+def test_a_cluster_with_few_of_its_edges_is_measured(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    centre = rng.standard_normal(64)
+    rows = [row(f"/t/{i:02d}", [near(rng, centre, 0.2)]) for i in range(20)]
+    e = lambda angle: np.r_[math.cos(angle), math.sin(angle), np.zeros(62)]
+    df = spark.createDataFrame(rows + [row(f"/u/{i}", [e(0.4 * i)]) for i in range(4)], SCHEMA)
+    pairs, star = vectors.candidate_pairs, sorted(r.cid for r in vectors.current_contents(df).where("path like '/t/%'").collect())
+    monkeypatch.setattr(vectors, "candidate_pairs", lambda *a, **k: pairs(*a, **k).where(~F.col("a").isin(star[1:])))
+    monkeypatch.setattr(communities, "ROUNDS", 0)
+    got = {r.path for r in communities.found(df).collect()}
+    assert got == {r[0] for r in rows}
+
+
 def test_modularity_separates_two_cliques_with_a_bridge(spark):
     edges = [(i, j, 0.9) for side in (range(0, 6), range(10, 16)) for i in side for j in side if i < j] + [(0, 10, 0.83)]
     got = {r.cid: r.community for r in communities.communities(spark.createDataFrame(edges, "a bigint, b bigint, sim double")).collect()}
