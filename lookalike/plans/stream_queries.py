@@ -70,7 +70,9 @@ def fs_stream_prune(spark, d):
 
 @query()
 def fs_stream_windows(spark, d):
-    """Windowed counts written by a stream with a watermark; late rows beyond it are dropped."""
+    """Windowed counts written by a stream with a watermark; late rows beyond it are dropped.
+
+    Windows that end after the last event less 2 days stay open and are not written."""
 
     def write(source, base):
         rows = events.windowed(source, late="2 days", window="1 hour").select(F.unix_micros("w.start").alias("at"), "event_type", "events")
