@@ -10,31 +10,22 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.llm import vectors as V
-from lookalike.session import release, stage_table
+from lookalike.session import stage_table
 
 
 def similar_contents(
-    catalog: DataFrame, contents: DataFrame, k: int, least: float, tables: int = 8, probes: int | None = None, dims: int = V.DIMS, hot: int = V.HOT_BUCKET
+    current: DataFrame, packed: DataFrame, k: int, least: float, shape: V.Shape = V.Shape(), dims: int = V.DIMS, hot: int = V.HOT_BUCKET
 ) -> DataFrame:
     """(a, b, sim), a < b: pairs of contents with similarity of at least `least`, among them the k most
     similar bucket mates of each.
 
     Hash the frames by cross-polytope tables with multiprobe, gather bucket mates, verify exactly. In buckets
     of more than `hot` rows all are measured, and the k most similar of each are kept.
-    Contents of older writes are hashed along; they fall away where pairs meet the current records.
     """
-    functions = V.functions_for(contents.count())
-    places, packed = V.bucket_rows(catalog, tables, probes or V.probes_for(functions), functions, dims), V.packed_contents(catalog, dims)
-    large = V.large_buckets(places, hot)
-    pairs = V.candidate_pairs(places, large=large, split=False)
-    if not large.isEmpty():
-        pairs = pairs.union(V.hot_pairs(places, large, contents, packed, k, least, hot, dims)).distinct()
-    return V.verified(pairs, packed, least, dims)
+    return V.verified(V.candidate_pairs(packed, current, least, k, shape, dims, hot), packed, least, dims)
 
 
-def nearest(
-    catalog: DataFrame, k: int = 5, least: float = 0.82, tables: int = 8, probes: int | None = None, dims: int = V.DIMS, hot: int = V.HOT_BUCKET
-) -> DataFrame:
+def nearest(catalog: DataFrame, k: int = 5, least: float = 0.82, shape: V.Shape = V.Shape(), dims: int = V.DIMS, hot: int = V.HOT_BUCKET) -> DataFrame:
     """(mode, path, other, sim, rank): for each current record its k most similar other records.
 
     Similarity is the greatest plain cosine between a frame of one and a frame of the other, within a
@@ -45,9 +36,8 @@ def nearest(
     Equal contents are searched once. A group of copies lists its first members by path: each copy gets
     the k smallest paths of its group before any other content, so no group is paired with itself.
     """
-    current = stage_table(V.current_contents(catalog, dims), "contents")
-    found = stage_table(similar_contents(catalog, current, k, least, tables, probes, dims, hot), "similar")
-    release(catalog.sparkSession)
+    current, packed = V.contents(catalog, dims)
+    found = stage_table(similar_contents(current, packed, k, least, shape, dims, hot), "similar")
     return expand(current, found, k)
 
 
@@ -105,23 +95,20 @@ def brute_force(packed: DataFrame, queries: DataFrame, least: float, block: int
     return found if found is not None else packed.select(F.col("cid").alias("q"), "cid", F.lit(0.0).alias("sim")).limit(0)
 
 
-def recall(catalog: DataFrame, k: int = 5, least: float = 0.82, every: int = 50, tables: int = 8, probes: int | None = None) -> DataFrame:
+def recall(catalog: DataFrame, k: int = 5, least: float = 0.82, every: int = 50, shape: V.Shape = V.Shape(), hot: int = V.HOT_BUCKET) -> DataFrame:
     """(mode, queries, true, listed, recall): of the k most similar contents of every content whose id is
     divisible by `every`, the share that the index finds, against brute force over all contents."""
-    current = stage_table(V.current_contents(catalog), "contents")
-    of_mode = current.select("cid", "mode").distinct()
+    current, packed = V.contents(catalog)
     best = Window.partitionBy("q").orderBy(F.round("sim", 6).desc(), "cid")
-    top = lambda rows: rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).select("q", "cid")
-    found = stage_table(similar_contents(catalog, current, k, least, tables, probes), "similar")
+    top = lambda rows: rows.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
+    found = stage_table(similar_contents(current, packed, k, least, shape, hot=hot), "similar")
     ways = found.select("a", "b", "sim").union(found.select("b", "a", "sim")).toDF("q", "cid", "sim").where(F.pmod("q", F.lit(every)) == 0)
-    mine = top(ways.join(of_mode.select("cid"), "cid", "left_semi")).withColumn("hit", F.lit(1))
-    modes = {}
-    for mode in V.MODES:
-        packed = stage_table(V.packed_contents(catalog).join(of_mode.where(F.col("mode") == mode), "cid", "left_semi"), "packed")
-        modes[mode] = brute_force(packed, packed.where(F.pmod("cid", F.lit(every)) == 0), least).withColumn("mode", F.lit(mode))
-    every_mode = modes["visual"].union(modes["faces"])
-    want = every_mode.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k)
-    both = want.join(mine, ["q", "cid"], "left")
-    return both.groupBy("mode").agg(
+    mine = top(ways).select("q", "cid", F.lit(1).alias("hit"))
+    modes = []
+    for number, mode in enumerate(V.MODES):
+        own = packed.where(F.col("mode") == number)
+        modes.append(brute_force(own, own.where(F.pmod("cid", F.lit(every)) == 0), least).withColumn("mode", F.lit(mode)))
+    want = top(modes[0].union(modes[1]))
+    return want.join(mine, ["q", "cid"], "left").groupBy("mode").agg(
         F.countDistinct("q").alias("queries"), F.count("*").alias("true"), F.count("hit").alias("listed"), F.round(F.count("hit") / F.count("*"), 4).alias("recall")
     )

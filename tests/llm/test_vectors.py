@@ -84,23 +84,6 @@ def test_what_takes_no_part(spark):
     assert neighbours.found(empty).count() == 0 and communities.found(empty).count() == 0
 
 
-def test_hot_buckets_are_split_without_losing_the_nearest(spark):
-    rng = np.random.default_rng(2)
-    base = rng.standard_normal(64)
-    rows = []
-    for g in range(60):
-        centre = near(rng, base, 0.5)
-        rows += [row(f"/h/{g:02d}_{m}", [near(rng, centre, 0.05)]) for m in range(3)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    places = vectors.bucket_rows(df, 5, 2, 2)
-    plain = {tuple(r) for r in vectors.candidate_pairs(places).collect()}
-    split = {tuple(r) for r in vectors.candidate_pairs(places, hot=20).collect()}
-    assert split <= plain and len(split) < len(plain)
-    ids = {r.path: r.cid for r in vectors.current_contents(df).collect()}
-    twins = {tuple(sorted((ids[f"/h/{g:02d}_{m}"], ids[f"/h/{g:02d}_{n}"]))) for g in range(60) for m in range(3) for n in range(m)}
-    assert len(twins & split) >= 0.95 * len(twins)
-
-
 def test_nearest_in_hot_buckets_are_exact(spark):
     rng = np.random.default_rng(12)
     centre = rng.standard_normal(64)
@@ -110,9 +93,6 @@ def test_nearest_in_hot_buckets_are_exact(spark):
     want = top_pairs(brute(rows))
     got = {tuple(r) for r in neighbours.nearest(df, 5, hot=40).selectExpr("mode", "least(path, other)", "greatest(path, other)").collect()}
     assert len(got & want) >= 0.99 * len(want) and len(got & want) >= 0.99 * len(got)
-    ids = {r.path: r.cid for r in vectors.current_contents(df).collect()}
-    split = {tuple(r) for r in vectors.candidate_pairs(vectors.bucket_rows(df, 8, 2, 2), hot=40).collect()}
-    assert sum(tuple(sorted((ids[p], ids[q]))) in split for _, p, q in want) < 0.95 * len(want)
 
 
 def test_equal_directions_in_hot_buckets_go_by_path(spark):
@@ -124,22 +104,40 @@ def test_equal_directions_in_hot_buckets_go_by_path(spark):
     assert len(lists) == 100 and lists["/e/050"] == ["/e/000", "/e/001", "/e/002"] and lists["/e/001"] == ["/e/000", "/e/002", "/e/003"]
 
 
-def test_sketches_keep_pairs_at_the_bar():
-    rng, planes = np.random.default_rng(9), np.random.default_rng(77).standard_normal((64, 128))
-    a, b = rng.standard_normal((2, 50_000, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    b -= (a * b).sum(axis=1, keepdims=True) * a
-    b = 0.82 * a + math.sqrt(1 - 0.82**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    s, t = (np.packbits(np.stack([a, b], 1).reshape(-1, 64) @ planes > 0, axis=1).view(np.int64)).T
-    low, _ = vectors.mates(np.repeat(np.arange(50_000), 2), np.ascontiguousarray(s), np.ascontiguousarray(t), np.arange(100_000), vectors.SKETCH_BITS)
-    assert len(low) >= 0.999 * 50_000
+@pytest.mark.parametrize("dims", [32, 64, 100])
+def test_sketches_keep_pairs_at_the_bar_and_few_others(dims):
+    rng = np.random.default_rng(9)
+
+    def estimates(cos):
+        a, b = rng.standard_normal((2, 20_000, dims)).astype(np.float32)
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = cos * a + math.sqrt(1 - cos**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        return vectors.estimate(*(x.view(np.uint64) for x in (*vectors.sketches(a), *vectors.sketches(b))))
+
+    bar = vectors.sketch_bar(0.82, dims)
+    assert (estimates(0.82) >= bar).mean() >= 0.999 and (estimates(0.95) >= bar).all()
+    assert (estimates(0.2) >= bar).mean() < 0.01
+
+
+def test_estimate_is_the_cosine_of_the_codes():
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((50, 64)).astype(np.float32)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    y = vectors.rotated(u, 900) * 8
+    codes = np.sign(y) * np.where(np.abs(y) > vectors.LARGE, 3, 1)
+    want = (codes[:25] * codes[25:]).sum(axis=1) / np.linalg.norm(codes[:25], axis=1) / np.linalg.norm(codes[25:], axis=1)
+    s, m = (x.view(np.uint64) for x in vectors.sketches(u))
+    assert np.allclose(vectors.estimate(s[:25], m[:25], s[25:], m[25:]), want)
 
 
 def test_hadamard_and_rotations_keep_lengths():
-    h = vectors.hadamard(8)
+    h = vectors.butterflies(np.eye(8))
     assert np.allclose(h @ h.T, np.eye(8)) and set(np.round(h * math.sqrt(8)).ravel()) == {-1, 1}
     r = vectors.rotation(64, 3)
     assert np.allclose(r @ r.T, np.eye(64), atol=1e-5)
+    u = np.random.default_rng(1).standard_normal((5, 100)).astype(np.float32)
+    assert np.allclose(u @ vectors.rotation(100, 3), vectors.pseudo_rotation(u, 3), atol=1e-4)
 
 
 def cliques(rows, sims):
@@ -181,13 +179,27 @@ def test_a_cluster_with_few_of_its_edges_is_measured(spark, monkeypatch):
     rows = [row(f"/t/{i:02d}", [near(rng, centre, 0.2)]) for i in range(20)]
     e = lambda angle: np.r_[math.cos(angle), math.sin(angle), np.zeros(62)]
     df = spark.createDataFrame(rows + [row(f"/u/{i}", [e(0.4 * i)]) for i in range(4)], SCHEMA)
-    pairs, star = vectors.candidate_pairs, sorted(r.cid for r in vectors.current_contents(df).where("path like '/t/%'").collect())
-    monkeypatch.setattr(vectors, "candidate_pairs", lambda *a, **k: pairs(*a, **k).where(~F.col("a").isin(star[1:])))
-    monkeypatch.setattr(communities, "ROUNDS", 0)
+    whole, star = communities.neighbour_graph, sorted(r.cid for r in vectors.contents(df)[0].where("path like '/t/%'").collect())
+    monkeypatch.setattr(communities, "neighbour_graph", lambda *a, **k: whole(*a, **k).where(~F.col("a").isin(star[1:])))
     got = {r.path for r in communities.found(df).collect()}
     assert got == {r[0] for r in rows}
 
 
+def test_large_communities_are_measured_in_blocks(spark):
+    rows = library(11, 60)
+    df = spark.createDataFrame(rows + rows[:5], SCHEMA)
+    assert set(map(tuple, communities.found(df, block=2).collect())) == set(map(tuple, communities.found(df).collect()))
+
+
+def test_descent_finds_what_the_tables_miss(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [row(f"/w/{g}_{i}", [near(rng, c, 0.25)]) for g, c in enumerate(rng.standard_normal((10, 64))) for i in range(8)]
+    current, packed = vectors.contents(spark.createDataFrame(rows, SCHEMA))
+    monkeypatch.setattr(communities, "START", vectors.Shape(tables=1, probes=6))
+    started = vectors.verified(vectors.candidate_pairs(packed, current, 0.82, 24, communities.START), packed, 0.82).count()
+    assert started < 230 and communities.neighbour_graph(current, packed).count() > 260
+
+
 def test_modularity_separates_two_cliques_with_a_bridge(spark):
     edges = [(i, j, 0.9) for side in (range(0, 6), range(10, 16)) for i in side for j in side if i < j] + [(0, 10, 0.83)]
     got = {r.cid: r.community for r in communities.communities(spark.createDataFrame(edges, "a bigint, b bigint, sim double")).collect()}
@@ -199,6 +211,21 @@ def test_recall_query_measures_against_brute_force(spark):
     assert {r.mode for r in rows} == {"visual", "faces"} and all(r.recall >= 0.9 and r.queries > 20 for r in rows)
 
 
-def test_hash_shape_follows_the_number_of_contents():
-    shapes = [(vectors.functions_for(n), vectors.probes_for(vectors.functions_for(n))) for n in (0, 10**3, 2 * 10**5, 3 * 10**7, 10**12)]
-    assert shapes == [(2, 2), (2, 2), (2, 2), (3, 4), (4, 8)]
+def test_buckets_found_hot_while_comparing_and_foreseen_ones_lose_nothing(spark):
+    rng = np.random.default_rng(13)
+    centre = rng.standard_normal(64)
+    df = spark.createDataFrame([row(f"/g/{i:03d}", [near(rng, centre, 0.2)]) for i in range(300)], SCHEMA)
+    current, packed = vectors.contents(df)
+    lists = []
+    for hot in (10**6, 60, 20):
+        rows = neighbours.expand(current, neighbours.similar_contents(current, packed, 5, 0.82, hot=hot), 5).collect()
+        lists.append({(r.path, r.other) for r in rows})
+    assert len(lists[0]) == 1500 and lists[1] == lists[0] and lists[2] == lists[0]
+    part = vectors.bucket_mates(vectors.bucket_rows(packed, vectors.Shape(), range(1)), 0.5, 40)
+    assert part.where("place is not null and b is null").count() > 40
+
+
+def test_modes_and_near_names_never_mix(spark):
+    v = [float(x) for x in range(1, 65)]
+    odd = [row("/m/a", [v]), row("/m/b", [v], "faces"), row("/m/c", [v, None]), row("/m/d", [v, [math.nan] * 64]), row("/m/e", [v, [1.0]]), row("/m/f", [v[:32], v[32:]])]
+    assert neighbours.found(spark.createDataFrame(odd, SCHEMA)).count() == 0
