@@ -1,9 +1,8 @@
 """Near-duplicate records: a MinHash LSH forest over frame hashes, verified exactly.
 
-A frame hash is a set of tokens, its 13 bands with their values; two hashes few bits apart share most
-tokens. Each tree of the forest orders the hashes by a sequence of minima under random orders of the
-tokens; hashes with a common prefix of minima are compared. The prefix is as long as the number of
-hashes asks for, and then the number of trees as large as the recall asks for.
+The records of the forest are frame hashes, each a set of 64 tokens, its bits with their positions: two hashes 4 bits
+apart share 60 of 68. A hash has a signature in each tree, the ranks of its minima under 12 random orders of the
+tokens. The signatures of a tree, sorted, are its prefix trie. Files are joined by the hashes they match.
 """
 
 from __future__ import annotations
@@ -20,57 +19,181 @@ from lookalike.catalog import current_rows
 from lookalike.llm.groups import FRAME_BITS, usable
 from lookalike.session import stage_table
 
-BAND_BITS = 5
-BANDS = -(-64 // BAND_BITS)
 AGREEMENT = 0.5
 RECALL = 0.9995
+#: Minima of a signature, four bits each, and the least number that two hashes must share to be compared.
+DEPTH, SHALLOW = 12, 6
+#: Hashes below a node of the trie up to which all of them are compared.
+NODE = 24
+#: Hashes with one whole signature from which they are measured in blocks, and those with one shallow prefix from
+#: which this prefix is no longer held in one task. One hash in FORESEEN is looked at to foresee the latter.
+HOT, CROWDED, FORESEEN = 2000, 50_000, 16
+#: Trees whose rows are shuffled at once: what bounds the disk.
+AT_ONCE = 16
 
 
 def least_jaccard(bits: int = FRAME_BITS) -> float:
-    """Of the token sets of two hashes that differ in `bits` bits, all in different bands."""
-    shared = BANDS - bits
-    return shared / (2 * BANDS - shared)
+    """Of the token sets of two hashes that differ in `bits` bits."""
+    return (64 - bits) / (64 + bits)
 
 
-def forest_shape(hashes: int, recall: float = RECALL, bits: int = FRAME_BITS) -> tuple[int, int]:
-    """(trees, prefix length): the prefix long enough that chance mates stay few, then shortened no
-    further than `trees` can make up for: 1 - (1 - j**length)**trees >= recall at the least similarity."""
-    length = max(2, round(math.log(max(hashes, 1) / 64, 64)))
-    return math.ceil(math.log(1 - recall) / math.log(1 - least_jaccard(bits) ** length)), length
+def trees_for(recall: float = RECALL, bits: int = FRAME_BITS, depth: int = DEPTH) -> int:
+    """So many that even with no prefix shortened below `depth` minima a pair is met with this probability."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - least_jaccard(bits) ** depth))
 
 
-def prefixes(hashes: DataFrame, trees: int, length: int) -> DataFrame:
-    """(prefix, h): for every hash and tree, the first `length` minima."""
+def signatures(hashes: DataFrame, trees: range) -> DataFrame:
+    """(key, h): for every hash and tree, the number of the tree and then its minima, four bits each."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shift = np.arange(BANDS, dtype=np.uint64) * np.uint64(BAND_BITS)
-        width = 1 << BAND_BITS
-        orders = [np.random.default_rng(9000 + k).permutation(BANDS * width).astype(np.int32) for k in range(trees * length)]
-        for batch in batches:
-            h = batch.column("h").to_numpy(zero_copy_only=False)
-            tokens = ((h.view(np.uint64)[:, None] >> shift) & np.uint64(width - 1)).astype(np.int64) + np.arange(BANDS) * width
-            for t in range(trees):
-                prefix = np.full(len(h), t, np.int64)
-                for d in range(length):
-                    prefix = prefix * (BANDS * width) + orders[t * length + d][tokens].min(axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(prefix), batch.column("h")], names=["prefix", "h"])
-
-    return hashes.select("h").mapInArrow(sign, "prefix bigint, h bigint")
-
+        bit = (np.arange(256)[:, None] >> np.arange(8)) & 1
+        # Least rank among the eight tokens of each value of each byte: a minimum is then that of eight look-ups.
+        ranks = [np.stack([np.random.default_rng(9000 + t * DEPTH + d).permutation(128).astype(np.uint8) for d in range(DEPTH)]) for t in trees]
+        least = [np.stack([r[:, 2 * (8 * b + np.arange(8)) + bit].min(axis=2) for b in range(8)]) for r in ranks]
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 20_000):
+                h = whole.column("h").slice(lo, 20_000)
+                part = np.ascontiguousarray(h.to_numpy(zero_copy_only=False)).view(np.uint8).reshape(-1, 8)
+                for t, table in zip(trees, least):
+                    minima = table[0][:, part[:, 0]]
+                    for b in range(1, 8):
+                        np.minimum(minima, table[b][:, part[:, b]], out=minima)
+                    key = np.full(len(part), t, np.int64)
+                    for d in range(DEPTH):
+                        key = (key << 4) | np.minimum(minima[d], 15)
+                    yield pa.RecordBatch.from_arrays([pa.array(key), h], names=["key", "h"])
+
+    return hashes.select("h").mapInArrow(sign, "key bigint, h bigint")
+
+
+def leaves(key: np.ndarray, shallow: int, node: int = NODE) -> np.ndarray:
+    """The number of the node that each of the sorted keys is compared in.
+
+    From the whole signature a matched prefix is shortened as long as the node above holds no more than `node`
+    hashes, down to `shallow` minima: so every hash ends below the highest node that is small enough, or with its
+    whole signature, which gives the recall that the number of trees was chosen for.
+    """
+    differ = (key[1:] ^ key[:-1]).astype(np.float64)
+    common = np.where(differ > 0, DEPTH - 1 - (np.frexp(np.maximum(differ, 1))[1] - 1) // 4, DEPTH)
+    cut = np.r_[True, common < shallow]
+    for depth in range(shallow + 1, DEPTH + 1):
+        part = np.cumsum(cut) - 1
+        large = np.bincount(part) > node
+        if not large.any():
+            break
+        cut[1:] |= large[part[1:]] & (common < depth)
+    return np.cumsum(cut) - 1
+
+
+def near_in(part: np.ndarray, h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs x < y of one part at most `bits` bits apart, each once; part is sorted."""
+    low, high, i, d, u = [h[:0]], [h[:0]], np.arange(len(h) - 1), 1, h.view(np.uint64)
+    while len(i):
+        i = i[: np.searchsorted(i, len(h) - d)]
+        i = i[part[i] == part[i + d]]
+        near = i[np.bitwise_count(u[i] ^ u[i + d]) <= bits]
+        low.append(np.minimum(h[near], h[near + d]))
+        high.append(np.maximum(h[near], h[near + d]))
+        d += 1
+    pairs = np.unique(np.stack([np.concatenate(low), np.concatenate(high)]), axis=1)
+    return pairs[0], pairs[1]
+
+
+def met(rows: DataFrame, bits: int, hot: int) -> DataFrame:
+    """(x, y, key): near pairs with key null; of more than `hot` hashes with one whole signature, instead of
+    pairs, its members as x, with y null. rows (key, h, shallow): the trie is walked as the sorted rows pass."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3
+        given_up = -1
+
+        def closed(rows: list[np.ndarray]) -> pa.RecordBatch:
+            key, h, shallow = rows
+            parts = [np.zeros(0, np.int64)]
+            for s in np.unique(shallow):
+                own = shallow == s
+                parts.append(np.stack([leaves(key[own], int(s)), np.flatnonzero(own)]))
+            part = np.zeros(len(key), np.int64)
+            for k, found in enumerate(parts[1:]):
+                part[found[1]] = found[0] * 2 + k
+            whole = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+            sizes = np.bincount(np.cumsum(whole) - 1) if len(key) else np.zeros(0, np.int64)
+            over = (np.repeat(sizes, sizes) > hot) | (key == given_up)
+            x, y = near_in(part[~over], h[~over], bits)
+            pair = np.arange(len(x) + over.sum()) < len(x)
+            columns = [pa.array(np.r_[x, h[over]]), pa.array(np.r_[y, h[over]], mask=~pair), pa.array(np.r_[x, key[over]], mask=pair)]
+            return pa.RecordBatch.from_arrays(columns, names=["x", "y", "key"])
 
-def near_hashes(hashes: DataFrame, bits: int = FRAME_BITS, recall: float = RECALL) -> DataFrame:
+        for batch in batches:
+            rows = [np.concatenate([a, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for a, c in zip(held, batch.columns)]
+            key, last = rows[0], len(rows[0]) - 1
+            if last < 0:
+                continue
+            start = key[last] >> (4 * (DEPTH - rows[2][last])) << (4 * (DEPTH - rows[2][last]))
+            cut = int(np.searchsorted(key, start))
+            if rows[2][last] == DEPTH and last + 1 - cut > hot:
+                cut, gone = last + 1, key[last]
+                yield closed(rows)
+                given_up = gone
+            else:
+                yield closed([r[:cut] for r in rows])
+            held = [r[cut:] for r in rows]
+        yield closed(held)
+
+    place = F.expr(f"shiftright(key, 4 * ({DEPTH} - shallow))")
+    return rows.repartition(place).sortWithinPartitions("key").mapInArrow(walk, "x bigint, y bigint, key bigint").distinct()
+
+
+def in_blocks(held: DataFrame, bits: int, block: int) -> DataFrame:
+    """(x, y), x < y: near pairs among all hashes of one key, every two of its blocks measured in one task."""
+    many = held.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("many"))
+    own = F.pmod(F.xxhash64("h"), F.col("many")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("many") - 1), lambda j: F.struct(F.least("own", j).alias("i"), F.greatest("own", j).alias("j")))
+    sent = held.join(many, "key").withColumn("own", own).withColumn("at", F.explode(others)).select("key", "at.i", "at.j", "own", "h")
+
+    def measure(rows: pa.Table) -> pa.Table:
+        own, h = rows.column("own").to_numpy(), rows.column("h").to_numpy()
+        left, right = h[own == rows.column("i")[0].as_py()], h[own == rows.column("j")[0].as_py()]
+        found = [np.zeros((2, 0), np.int64)]
+        for lo in range(0, len(left), 500):
+            part = left[lo : lo + 500]
+            a, b = np.nonzero(np.bitwise_count(part.view(np.uint64)[:, None] ^ right.view(np.uint64)) <= bits)
+            pair = np.stack([part[a], right[b]])
+            found.append(np.sort(pair[:, pair[0] != pair[1]], axis=0))
+        pairs = np.unique(np.concatenate(found, axis=1), axis=1)
+        return pa.table({"x": pairs[0], "y": pairs[1]})
+
+    return sent.groupBy("key", "i", "j").applyInArrow(measure, "x bigint, y bigint")
+
+
+def near_hashes(hashes: DataFrame, bits: int = FRAME_BITS, recall: float = RECALL, hot: int = HOT, crowded: int = CROWDED) -> DataFrame:
     """(x, y), both ways: distinct hashes at most `bits` bits apart. hashes: distinct h, on disk.
 
-    The prefixes are shuffled once; both sides of the join read that one shuffle, and a large prefix
-    group is split by Spark's skew handling, as every row only meets rows with its own prefix.
+    The same trees and depth at every size. A tree's rows are shuffled once, by their shallow prefix, and only 16
+    bytes each. A shallow prefix with very many hashes would be walked down to whole signatures anyway, so its rows
+    are spread by those.
     """
-    trees, length = forest_shape(hashes.count(), recall, bits)
-    placed = prefixes(hashes, trees, length).repartition("prefix")
-    a, b = placed.alias("a"), placed.alias("b")
-    close = F.bit_count(F.col("a.h").bitwiseXOR(F.col("b.h"))) <= bits
-    found = a.join(b, (F.col("a.prefix") == F.col("b.prefix")) & (F.col("a.h") < F.col("b.h")) & close)
-    found = found.select(F.col("a.h").alias("x"), F.col("b.h").alias("y")).distinct()
-    return found.union(found.select("y", "x"))
+    trees = trees_for(recall, bits)
+    bound = F.expr(f"shiftright(key, {4 * (DEPTH - SHALLOW)})")
+    some = signatures(hashes.where(F.pmod(F.xxhash64("h"), F.lit(FORESEEN)) == 0), range(trees))
+    large = stage_table(some.groupBy(bound.alias("prefix")).agg(F.count("*").alias("n")).where(F.col("n") > crowded // FORESEEN).select("prefix"), "crowded")
+    foreseen = not large.isEmpty()
+    found = None
+    for lo in range(0, trees, AT_ONCE):
+        rows = signatures(hashes, range(lo, min(lo + AT_ONCE, trees)))
+        if foreseen:
+            marked = large.withColumn("deep", F.lit(DEPTH))
+            rows = rows.withColumn("prefix", bound).join(marked, "prefix", "left").select("key", "h", F.coalesce("deep", F.lit(SHALLOW)).alias("shallow"))
+        else:
+            rows = rows.withColumn("shallow", F.lit(SHALLOW))
+        part = stage_table(met(rows, bits, hot), "met")
+        found = part if found is None else found.union(part)
+    pairs = found.where(F.col("key").isNull()).select("x", "y")
+    held = found.where(F.col("key").isNotNull()).select("key", F.col("x").alias("h")).distinct()
+    if not held.isEmpty():
+        pairs = pairs.union(in_blocks(held, bits, hot))
+    pairs = pairs.distinct()
+    return pairs.union(pairs.select("y", "x"))
 
 
 def file_hashes(catalog: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pytest
 from harness import DATA, compare, connection
 
@@ -99,10 +100,30 @@ def test_same_pictures_and_odd_hashes(spark):
     assert edits.found(catalog(spark, rows).limit(0)).count() == 0
 
 
-def test_forest_reaches_its_recall():
-    for n in (100, 10**6, 10**9):
-        trees, length = edits.forest_shape(n)
-        assert 1 - (1 - edits.least_jaccard() ** length) ** trees >= edits.RECALL
+def test_forest_reaches_its_recall_with_whole_signatures():
+    trees = edits.trees_for()
+    assert 1 - (1 - edits.least_jaccard() ** edits.DEPTH) ** trees >= edits.RECALL
+
+
+def test_prefixes_are_shortened_to_the_highest_small_node():
+    unit = lambda *nibbles: sum(n << 4 * (edits.DEPTH - 1 - k) for k, n in enumerate(nibbles))
+    key = np.sort(np.array([unit(1, 1, i) for i in range(4)] + [unit(1, 2, 0, i // 2) for i in range(6)] + [unit(2)], np.int64))
+    sizes = lambda **options: np.bincount(edits.leaves(key, **options)).tolist()
+    assert sizes(shallow=1, node=20) == [10, 1]
+    assert sizes(shallow=1, node=6) == [4, 6, 1]
+    assert sizes(shallow=1, node=4) == [4, 2, 2, 2, 1]
+    assert sizes(shallow=edits.DEPTH, node=1) == [1, 1, 1, 1, 2, 2, 2, 1]
+
+
+@pytest.mark.parametrize("options", [{}, {"hot": 20, "crowded": 200}, {"hot": 20}])
+def test_near_hashes_against_brute_force(spark, options):
+    rng = random.Random(4)
+    centres = [rng.getrandbits(63) for _ in range(40)] + [rng.getrandbits(63)] * 20
+    hashes = {c ^ sum(1 << b for b in rng.sample(range(63), rng.randint(0, 3))) for c in centres for _ in range(20)} | {rng.getrandbits(64) - 2**63 for _ in range(300)}
+    found = edits.near_hashes(spark.createDataFrame([(h,) for h in hashes], "h bigint"), **options)
+    got = {(r.x, r.y) for r in found.collect()}
+    want = {(x, y) for x in hashes for y in hashes if x != y and ((x ^ y) & (2**64 - 1)).bit_count() <= 4}
+    assert got <= want and len(got) >= 0.998 * len(want) > 5000
 
 
 def test_survivors(spark):
