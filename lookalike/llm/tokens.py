@@ -1,9 +1,10 @@
 """Encoding of whole texts with a public byte-level BPE vocabulary, and decoding.
 
-Long texts are cut into overlapping chunks. Chunks are pre-tokenised apart from one another; a chunk may
+Texts are cut into overlapping chunks. Chunks are pre-tokenised apart from one another; a chunk may
 begin inside a pre-token, so it counts only from the first boundary in the overlap that the chunk before
 also has. Pre-tokenisation depends on nothing before its position, so from there on both agree. The
-pieces between such joints are encoded apart and their ids put together in order.
+pieces between such joints are encoded apart and their ids put together in order. The chunks of an ordinary text
+stay in the task that reads it; those of a very long one are dealt out to many.
 """
 
 from __future__ import annotations
@@ -17,10 +18,16 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lookalike.session import stage_table
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Pre-tokens of the vocabulary; fixed by it.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CHUNK, OVERLAP = 200_000, 2_000
+LONGEST_CONTRACTION = 3
+#: Characters of a chunk and of the overlap with the next.
+CHUNK, OVERLAP = 1_000, 100
+#: Texts of more characters have their chunks, SPREAD_CHUNK long, encoded by different tasks.
+SPREAD, SPREAD_CHUNK, SPREAD_OVERLAP = 1_000_000, 100_000, 2_000
 PART = pa.schema([("key", pa.int64()), ("k", pa.int32()), ("at", pa.int64()), ("last", pa.bool_()), ("part", pa.string())])
 
 
@@ -48,28 +55,64 @@ def boundaries(text: str) -> list[int]:
     return cuts
 
 
-def encode(documents: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
+def piece_starts(text: str, chunk: int, overlap: int) -> list[int]:
+    """Where the pieces of a text begin: at 0, and at the first boundary behind each border of two chunks that
+    both have. An overlap without one, as inside a pre-token longer than it, is doubled until there is one."""
+    starts, begun = [0], 0
+    for at in range(chunk, len(text), chunk):
+        if at <= starts[-1]:
+            continue
+        stop = at
+        while True:
+            stop = min(len(text), at + max(overlap, 2 * (stop - at)))
+            before = {begun + c for c in boundaries(text[begun:stop])}
+            # Cut at different places: where a text is cut, a contraction may seem to have a boundary inside.
+            joint = next((at + c for c in boundaries(text[at : stop + LONGEST_CONTRACTION]) if at + c in before), None)
+            if joint is not None or stop == len(text):
+                break
+        if joint is None:
+            break
+        starts.append(joint)
+        begun = at
+    return starts
+
+
+def encoded_pieces(coder, text: str | None, chunk: int, overlap: int) -> list[int]:
+    if not text:
+        return []
+    starts, ids = piece_starts(text, chunk, overlap), []
+    for start, stop in zip(starts, [*starts[1:], len(text)]):
+        ids += coder.encode_ordinary(text[start:stop])
+    return ids
+
+
+def encode(documents: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK, overlap: int = OVERLAP, spread: int = SPREAD) -> DataFrame:
     """(doc_id, ids): the ids of each text as stored, without special tokens, in any row order.
 
     Null and empty texts give an empty list; names of special tokens in a text are ordinary text. Every
-    row gives one row, repeated and null doc_ids included. Other columns are not read. Texts of up to
-    `chunk` characters are encoded where they are read, without a shuffle; longer ones are cut as above.
-    A pre-token longer than the overlap may leave two chunks without a joint: that text is encoded whole.
+    row gives one row, repeated and null doc_ids included. Other columns are not read. Every text of more than
+    `chunk` characters is cut as above; of up to `spread` characters within the task that reads it, without a shuffle.
     """
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(vocabulary)
         for batch in batches:
-            ids = [coder.encode_ordinary(t) if t else [] for t in batch.column("text").to_pylist()]
+            ids = [encoded_pieces(coder, t, chunk, overlap) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids_array(ids)], names=["doc_id", "ids"])
 
     rows = documents.select("doc_id", "text")
-    long = F.length("text") > chunk
-    direct = rows.where(F.coalesce(~long, F.lit(True))).mapInArrow(short, "doc_id bigint, ids array<int>")
-    return direct.unionByName(encode_long(rows.where(long), vocabulary, chunk, overlap))
+    long = F.coalesce(F.length("text") > spread, F.lit(False))
+    near = rows.where(~long).mapInArrow(run, "doc_id bigint, ids array<int>")
+    far = rows.where(long)
+    if far.isEmpty():
+        return near
+    return near.unionByName(encode_spread(far, vocabulary, min(spread, SPREAD_CHUNK), min(overlap, SPREAD_OVERLAP) if spread < SPREAD else SPREAD_OVERLAP))
+
 
+def encode_spread(rows: DataFrame, vocabulary: str, chunk: int, overlap: int) -> DataFrame:
+    """As encode, with the chunks of each text dealt out to many tasks; only boundaries in the overlaps meet by text.
+    Where an overlap has no joint, the text's pieces are found in one task, which widens it."""
 
-def encode_long(rows: DataFrame, vocabulary: str, chunk: int, overlap: int) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, text in zip(batch.column("key").to_pylist(), batch.column("text").to_pylist()):
@@ -99,21 +142,23 @@ def encode_long(rows: DataFrame, vocabulary: str, chunk: int, overlap: int) -> D
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoding(vocabulary)
         for batch in batches:
-            ids = [coder.encode_ordinary(t) for t in batch.column("text").to_pylist()]
+            ids = [encoded_pieces(coder, t, chunk, overlap) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("key"), ids_array(ids)], names=["key", "ids"])
 
-    keyed = rows.withColumn("key", F.monotonically_increasing_id())
+    # Staged: numbers given in passing may differ each time the rows are read.
+    keyed = stage_table(rows.withColumn("key", F.monotonically_increasing_id()), "long")
     parts = keyed.select("key", "text").mapInArrow(cut, "key bigint, k int, at bigint, last boolean, part string").repartition("key", "k")
-    marked = parts.mapInArrow(pretokenise, "key bigint, k int, at bigint, last boolean, part string, head array<bigint>, tail array<bigint>")
+    marked = stage_table(parts.mapInArrow(pretokenise, "key bigint, k int, at bigint, last boolean, part string, head array<bigint>, tail array<bigint>"), "chunks")
     in_text = Window.partitionBy("key").orderBy("k")
     joints = marked.select("key", "k", "last", "head", F.lag("tail").over(in_text).alias("before"))
     start = F.when(F.col("k") == 0, F.lit(0)).otherwise(F.array_min(F.array_intersect("head", "before")))
     joints = joints.select("key", "k", "last", start.alias("start")).withColumn("stop", F.lead("start").over(in_text))
-    broken = joints.groupBy("key").agg(F.max(F.col("start").isNull()).alias("broken"))
-    pieces = marked.select("key", "k", "at", "part").join(joints.select("key", "k", "start", "stop"), ["key", "k"]).join(broken, "key").where(~F.col("broken"))
+    joints = stage_table(joints, "joints")
+    broken = joints.where(F.col("start").isNull()).select("key").distinct()
+    pieces = marked.select("key", "k", "at", "part").join(joints.select("key", "k", "start", "stop"), ["key", "k"]).join(broken, "key", "left_anti")
     done = pieces.select("key", "k", "at", "start", "stop", "part").mapInArrow(encode_pieces, "key bigint, k int, ids array<int>")
     done = done.groupBy("key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"))
-    rest = keyed.join(broken.where("broken"), "key", "left_semi").select("key", "text").mapInArrow(whole, "key bigint, ids array<int>")
+    rest = keyed.join(broken, "key", "left_semi").select("key", "text").mapInArrow(whole, "key bigint, ids array<int>")
     return keyed.select("doc_id", "key").join(done.unionByName(rest), "key").select("doc_id", "ids")
 
 

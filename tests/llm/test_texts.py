@@ -16,13 +16,27 @@ def docs(spark, texts):
 TEXTS = [None, "", " ", "plain words", "  two  spaces\n\n\nand lines \n", "don't we'll", "<|endoftext|> is text", "日本語のテキスト、漢字", "a" * 3000, "x​y­", "emoji 👩‍👩‍👧 and \U0001d51e", "tabs\t\t\tend\t", "\n" * 400 + "z", "word " * 500]
 
 
-@pytest.mark.parametrize("chunk,overlap", [(200_000, 2_000), (50, 20), (7, 3)])
-def test_chunks_encode_as_the_whole(spark, chunk, overlap):
-    got = {r.doc_id: r.ids for r in tokens.encode(docs(spark, TEXTS), chunk=chunk, overlap=overlap).collect()}
+@pytest.mark.parametrize("options", [{}, {"chunk": 50, "overlap": 20}, {"chunk": 7, "overlap": 3}, {"spread": 100, "overlap": 20}])
+def test_chunks_encode_as_the_whole(spark, options):
+    got = {r.doc_id: r.ids for r in tokens.encode(docs(spark, TEXTS), **options).collect()}
     whole = tokens.encoding(tokens.VOCABULARY)
     assert got == {i: whole.encode_ordinary(t) if t else [] for i, t in enumerate(TEXTS)}
 
 
+def test_pieces_of_odd_texts_encode_as_the_whole():
+    import random
+
+    rng, coder = random.Random(7), tokens.encoding(tokens.VOCABULARY)
+    alphabet = ["a", "B", "é", "'", "s", "re", " ", " ", "\n", "\t", "1", "23", ".", "!", "字", "\U0001d51e", "\u200b", "  "]
+    for chunk, overlap in [(5, 2), (16, 4), (40, 16), (1000, 100)]:
+        for _ in range(150):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(1, 300))) + rng.choice(["", "a" * 150, " " * 150, "!" * 150])
+            assert tokens.encoded_pieces(coder, text, chunk, overlap) == coder.encode_ordinary(text)
+    long = "x" * 300_000 + " word" * 1000
+    assert tokens.encoded_pieces(coder, long[-6000:], 1000, 100) == coder.encode_ordinary(long[-6000:])
+    assert len(tokens.piece_starts(" ".join(["word"] * 1000), 1000, 100)) == 5 and len(tokens.piece_starts(long, 1000, 100)) == 6
+
+
 def test_agrees_with_the_other_library_and_decodes(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
