@@ -28,6 +28,8 @@ SCHEMA = T.StructType(
 
 #: Sorts before every real scan time.
 NEVER = -(2**62)
+#: What decides between different writes of one key at one scan time, the same whatever columns are asked for.
+TIES = ("size", "mtime")
 
 
 def scan_order(last_scan: str = "last_scan") -> Column:
@@ -38,13 +40,15 @@ def scan_order(last_scan: str = "last_scan") -> Column:
 def current_rows(catalog: DataFrame, columns: list[str], mode: str | None = None) -> DataFrame:
     """The newest write of each (path, mode): the key and the given columns.
 
-    Rows with a null path or mode have no key and are left out. Of writes with one scan time the
-    greatest by the given columns stays, so repeated rows collapse and ties are settled by value.
+    Rows with a null path or mode have no key and are left out. Of writes with one scan time the one of
+    greatest size stays, then of latest mtime (where the catalog has these columns; null before all, NaN after all),
+    then the greatest by the given columns, so repeated rows collapse and ties are settled by value.
     One aggregation with map-side combining: only the columns asked for are shuffled, and a key
     written any number of times is combined before the shuffle.
     """
     if mode is not None:
         catalog = catalog.where(F.col("mode") == mode)
-    newest = F.max(F.struct(scan_order().alias("__at"), *columns)).alias("__row")
+    ties = [F.col(c).alias(f"__{c}") for c in TIES if c in catalog.columns]
+    newest = F.max(F.struct(scan_order().alias("__at"), *ties, *columns)).alias("__row")
     kept = catalog.where(F.col("path").isNotNull() & F.col("mode").isNotNull()).groupBy("path", "mode").agg(newest)
     return kept.select("path", "mode", *[F.col(f"__row.{c}").alias(c) for c in columns])

@@ -31,8 +31,9 @@ def penalty(watermark: str = "watermark") -> Column:
     return F.when(score <= WATERMARK_FREE, 0.0).otherwise(F.least(F.lit(WATERMARK_MOST), (score - WATERMARK_FREE) * WATERMARK_SLOPE))
 
 
-def effective_area(resolution: str = "resolution", watermark: str = "watermark", content_ratio: Column | float = 1.0) -> Column:
-    ratio = F.lit(content_ratio) if isinstance(content_ratio, float) else content_ratio
+def effective_area(resolution: str = "resolution", watermark: str = "watermark", content_ratio: Column | None = None) -> Column:
+    """Pixels that show something: without dark bars, where their share is known, and less for a watermark."""
+    ratio = F.lit(1.0) if content_ratio is None else F.coalesce(content_ratio, F.lit(1.0))
     return area(resolution) * ratio * (1.0 - penalty(watermark))
 
 
@@ -47,8 +48,8 @@ def smart_score() -> Column:
     return finite("size") / F.lit(1_048_576.0) + 50.0 * pixels + 10.0 * finite("duration") + F.when(sharp > 0, 20.0 * F.log1p(sharp)).otherwise(0.0)
 
 
-def quality_score() -> Column:
-    return effective_area() + finite("sharpness")
+def quality_score(content_ratio: Column | None = None) -> Column:
+    return effective_area(content_ratio=content_ratio) + finite("sharpness")
 
 
 def size_mb(size: str = "size") -> Column:
@@ -65,7 +66,12 @@ def hours_minutes_seconds(seconds: Column) -> Column:
 
 
 def percent(part: Column, whole: Column) -> Column:
-    return F.when(whole > 0, (part / whole * 100).cast("int")).otherwise(0)
+    return F.when(whole > 0, F.floor(part * 100 / whole).cast("int")).otherwise(0)
+
+
+def similarity_percent(similarity: str = "similarity") -> Column:
+    """With one decimal, as a number."""
+    return F.round(F.round(F.col(similarity) * 1000, 6)) / 10
 
 
 def aspect(resolution: str = "resolution") -> Column:

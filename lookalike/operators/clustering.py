@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.functions.paths import suffix
+from lookalike.operators.numbering import numbered as dense
 from lookalike.session import stage_table
 
 
@@ -47,10 +48,10 @@ def leaders(edges: DataFrame, sizes: DataFrame) -> DataFrame:
 def numbered(clusters: DataFrame, sizes: DataFrame) -> DataFrame:
     """Adds cluster_id, 1 for the largest leader, and pos, the rank within the cluster: the leader, then by similarity.
 
-    Numbers are dense over all clusters, so clusters, not files, pass through one ordered partition.
+    Numbers are dense over all clusters; they are given by ranges, so no task orders them all.
     """
     heads = clusters.select("leader").distinct().join(sizes.toDF("leader", "size"), "leader", "left")
-    heads = heads.select("leader", F.row_number().over(Window.orderBy(F.coalesce("size", F.lit(0)).desc(), "leader")).alias("cluster_id"))
+    heads = dense(heads, "cluster_id", F.coalesce("size", F.lit(0)).desc(), "leader").select("leader", "cluster_id")
     within = Window.partitionBy("leader").orderBy((F.col("path") == F.col("leader")).desc(), F.col("similarity").desc(), "path")
     return clusters.join(heads, "leader").withColumn("pos", F.row_number().over(within))
 

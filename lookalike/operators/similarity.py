@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.bits import least_distance
 from lookalike.functions.media import bars
+from lookalike.session import stage_table
 
 SAME_FRAME, LEAST_COVERAGE, COVERAGE_COST = 0.55, 0.30, 0.25
 STRUCTURAL_BITS, CLOSE_BITS, STRUCTURAL_BONUS, CLOSE_BONUS = 4, 6, 0.18, 0.05
 #: Frames of one block of the exact join.
 BLOCK = 8192
 NEIGHBOURS = 256
+#: Frames up to which the join is exact; beyond, it goes by cells: frames for each centre, centres at most, visits of a frame.
+EXACT_FRAMES = 50_000
+IN_CELL, MOST_CELLS, PROBES = 250, 4096, 24
 
 
 def usable(vectors: str = "vector", dims: int | None = None) -> Column:
@@ -31,8 +35,11 @@ def frames(items: DataFrame, vectors: str = "vector", dims: int | None = None) -
 
 def mean_vector(frames: DataFrame) -> list[float]:
     """Mean over frames, dimension by dimension: as many numbers as a vector has."""
-    each = frames.select(F.posexplode("vec").alias("d", "x")).groupBy("d").agg(F.avg("x").alias("m"))
-    return [r.m for r in each.orderBy("d").collect()]
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    mean = frames.select(array_to_vector("vec").alias("v")).agg(Summarizer.mean(F.col("v")).alias("m")).first().m
+    return [] if mean is None else mean.toArray().tolist()
 
 
 def centred(frames: DataFrame, mean: list[float] | None = None) -> DataFrame:
@@ -131,6 +138,67 @@ def nearest_frames_hashed(frames: DataFrame, radius: float, bucket: float = 0.6,
     return near.select(F.col("datasetA.path").alias("a"), F.col("datasetA.frame").alias("fa"), F.col("datasetB.path").alias("b"), F.col("datasetB.frame").alias("fb"), cos.alias("cos"))
 
 
+def cell_pairs(frames: DataFrame, least: float, cells: int | None = None, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+    """(a, fa, b, fb, cos), a < b: as block_pairs, for frame counts beyond the exact join; some pairs are missed.
+
+    Some frames, 4,096 at most, are centres. A frame lives in the cell of its nearest centre and visits those of its
+    `probes` nearest; the visitors of a cell are held against those who live there. Inhabitants of a large cell
+    are dealt into blocks, each of which all visitors see, so no task holds more than a block of them; a frame is
+    sent out `probes` times, however many frames there are. frames: path, frame, vec of unit length, on disk.
+    """
+    cells = cells or min(MOST_CELLS, frames.count() // IN_CELL + 1)
+    centres = frames.orderBy(F.xxhash64("path", "frame")).limit(cells).select("vec").collect()
+    if not centres:
+        return frames.select(F.col("path").alias("a"), F.col("frame").alias("fa"), F.col("path").alias("b"), F.col("frame").alias("fb"), F.lit(0.0).alias("cos")).limit(0)
+    points = np.array([r.vec for r in centres], np.float32)
+
+    def visit(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 2000):
+                part = batch.slice(lo, 2000)
+                vectors = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float32)
+                dots = vectors @ points.T
+                k = min(probes, len(points))
+                near = np.argpartition(-dots, k - 1, axis=1)[:, :k]
+                home = near[np.arange(len(near)), np.take_along_axis(dots, near, 1).argmax(axis=1)]
+                rows = np.repeat(np.arange(part.num_rows), k)
+                cell = near.ravel()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cell, pa.int32()), pa.array(cell == home[rows]), *(part.column(c).take(pa.array(rows)) for c in ("path", "frame", "vec"))], names=["cell", "lives", "path", "frame", "vec"]
+                )
+
+    schema = "cell int, lives boolean, path string, frame int, vec array<double>"
+    visits = frames.select("path", F.col("frame").cast("int").alias("frame"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(visit, schema)
+    counts = visits.where("lives").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("many"))
+    visits = visits.join(counts, "cell")
+    own = F.pmod(F.xxhash64("path", "frame"), F.col("many")).cast("int")
+    inside = visits.where("lives").select("cell", own.alias("block"), "lives", "path", "frame", "vec")
+    callers = visits.select("cell", F.explode(F.sequence(F.lit(0), F.col("many") - 1)).alias("block"), F.lit(False).alias("lives"), "path", "frame", "vec")
+
+    def products(rows: pa.Table) -> pa.Table:
+        lives = rows.column("lives").to_numpy(zero_copy_only=False)
+        vectors = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(lives), -1)
+        path, frame = rows.column("path").combine_chunks(), rows.column("frame").to_numpy()
+        names = np.array(path.to_pylist(), dtype=object)
+        here, found = np.flatnonzero(lives), [np.zeros((3, 0))]
+        callers = np.flatnonzero(~lives)
+        for lo in range(0, len(callers), 1024):
+            part = callers[lo : lo + 1024]
+            dots = vectors[part] @ vectors[here].T
+            p, q = np.nonzero(dots >= least)
+            found.append(np.stack([part[p], here[q], dots[p, q]]))
+        p, q, cos = np.concatenate(found, axis=1)
+        p, q = p.astype(np.int64), q.astype(np.int64)
+        keep = names[p] != names[q]
+        p, q, cos = p[keep], q[keep], cos[keep]
+        swap = (names[p] > names[q]).astype(bool)
+        a, b = np.where(swap, q, p), np.where(swap, p, q)
+        return pa.table({"a": path.take(pa.array(a)), "fa": pa.array(frame[a]), "b": path.take(pa.array(b)), "fb": pa.array(frame[b]), "cos": pa.array(cos)})
+
+    pairs = inside.union(callers).groupBy("cell", "block").applyInArrow(products, "a string, fa int, b string, fb int, cos double")
+    return pairs.groupBy("a", "fa", "b", "fb").agg(F.max("cos").alias("cos"))
+
+
 def candidates(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
@@ -180,18 +248,21 @@ def with_distance(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").withColumn("bits", least_distance("ha", "hb")).drop("ha", "hb")
 
 
-def verified(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None) -> DataFrame:
-    """(a, b, peak, coverage, multi, sim) of all pairs of items that pass the prefilter."""
-    unit = centred(frames(items, vectors, dims))
+def verified(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None, exact_frames: int = EXACT_FRAMES) -> DataFrame:
+    """(a, b, peak, coverage, multi, sim) of all pairs of items that pass the prefilter; beyond `exact_frames` frames
+    of nearly all. The frames are staged once for their mean, their number and the pairs."""
+    plain = stage_table(frames(items, vectors, dims), "frames")
+    unit = centred(plain)
     _, prefilter = bars(slider, mode)
-    pairs = block_pairs(unit, min(prefilter, SAME_FRAME) if mode == "visual" else prefilter)
-    counts = unit.groupBy("path").agg(F.count("*").alias("frames"))
+    join = block_pairs if plain.count() <= exact_frames else cell_pairs
+    pairs = join(unit, min(prefilter, SAME_FRAME) if mode == "visual" else prefilter)
+    counts = plain.groupBy("path").agg(F.count("*").alias("frames"))
     return peak_and_coverage(pairs, counts, gated=mode == "visual").where(F.col("peak") >= prefilter)
 
 
-def edges(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None) -> DataFrame:
+def edges(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None, exact_frames: int = EXACT_FRAMES) -> DataFrame:
     """(a, b, sim): the similarity graph of items (path, vector, dhash)."""
-    pairs = verified(items, slider, mode, vectors, dims)
+    pairs = verified(items, slider, mode, vectors, dims, exact_frames)
     if mode == "visual":
         pairs = with_distance(pairs, items.select("path", "dhash"))
     return accepted(pairs, slider, mode)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lookalike.functions.media import area
 from lookalike.functions.paths import basename, kind, matches_text, parent, shown_as, suffix
+from lookalike.operators.numbering import numbered
 
 SORTS = {
     "path": lambda: F.col("path"),
@@ -34,7 +35,7 @@ def ordered(members: DataFrame, by: str, descending: bool = False) -> DataFrame:
     key = SORTS[by]()
     way = (lambda c: c.desc_nulls_last()) if descending else (lambda c: c.asc_nulls_first())
     first = members.groupBy("cluster_id").agg(F.min_by(key, F.struct("pos", "path")).alias("head"))
-    first = first.select("cluster_id", F.row_number().over(Window.orderBy(way(F.col("head")), "cluster_id")).alias("group_pos"))
+    first = numbered(first, "group_pos", way(F.col("head")), F.col("cluster_id")).select("cluster_id", "group_pos")
     within = Window.partitionBy("cluster_id").orderBy(way(key), "path")
     return members.withColumn("pos_in_group", F.row_number().over(within)).join(first, "cluster_id")
 
@@ -90,5 +91,5 @@ def counters(log: DataFrame) -> DataFrame:
 def stride_sample(rows: DataFrame, order: str, most: int = 50) -> DataFrame:
     """At most `most` rows at equal distances in order, all if there are no more."""
     step = max(1, rows.count() // most)
-    placed = rows.withColumn("__n", F.row_number().over(Window.orderBy(order)) - 1)
-    return placed.where((F.col("__n") % step == 0) & (F.col("__n") < step * most)).drop("__n")
+    at = F.col("__at_all") - 1
+    return numbered(rows, "__at_all", order).where((at % step == 0) & (at < step * most)).drop("__at_all")

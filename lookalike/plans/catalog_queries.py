@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lookalike.functions import media, paths
 from lookalike.operators import ingest
 from lookalike.operators.similarity import usable
 from lookalike.plans import tables as t
+from lookalike.sources import files
+from lookalike.sources import media as readers
 from lookalike.streaming import events
 
 Q: dict = {}
@@ -32,24 +36,27 @@ def catalog_current(spark, d):
 @query(f"WITH {t.CUR} SELECT path, size, len(vector) AS frames FROM cur WHERE mode = 'visual' AND len(vector) > 0 AND path = (SELECT min(path) FROM metadata)")
 def catalog_point(spark, d):
     first = t.catalog(spark, d).agg(F.min("path").alias("path"))
-    rows = ingest.items(t.current(spark, d, ["size", "vector", "last_scan"]))
-    return rows.join(first, "path", "left_semi").select("path", "size", F.size("vector").cast("bigint").alias("frames"))
+    rows = ingest.items(t.current_of(spark, d, first, ["size", "vector", "last_scan"]))
+    return rows.select("path", "size", F.size("vector").cast("bigint").alias("frames"))
 
 
 @query(f"WITH {t.CUR} SELECT path, size, mtime, coalesce(watermark, 0.0) AS watermark FROM cur WHERE mode = 'visual' AND path IN (SELECT path FROM clusters)")
 def catalog_batch(spark, d):
-    rows = t.current(spark, d, ["size", "mtime", "watermark"]).join(t.table(spark, d, "clusters").select("path").distinct(), "path", "left_semi")
+    rows = t.current_of(spark, d, t.table(spark, d, "clusters"), ["size", "mtime", "watermark"])
     return rows.select("path", "size", "mtime", F.coalesce("watermark", F.lit(0.0)).alias("watermark"))
 
 
 @query(
-    f"""WITH {t.CUR} SELECT path, mode, len(CASE WHEN mode = 'faces' THEN faces ELSE vector END) AS frames, len(dhash) AS hashes FROM cur
+    f"""WITH {t.CUR} SELECT path, mode, len(CASE WHEN mode = 'faces' THEN faces ELSE vector END) AS frames, len(dhash) AS hashes,
+    round((CASE WHEN mode = 'faces' THEN faces ELSE vector END)[-1][1]::double, 6) AS number, dhash[-1] AS last_hash FROM cur
     WHERE path IN (SELECT path FROM clusters)"""
 )
 def catalog_vectors(spark, d):
-    rows = t.current(spark, d, ["vector", "faces", "dhash"], None).join(t.table(spark, d, "clusters").select("path").distinct(), "path", "left_semi")
+    rows = t.current_of(spark, d, t.table(spark, d, "clusters"), ["vector", "faces", "dhash"], None)
     size = lambda c: F.when(c.isNotNull(), F.size(c)).cast("bigint")
-    return rows.select("path", "mode", size(F.when(F.col("mode") == "faces", F.col("faces")).otherwise(F.col("vector"))).alias("frames"), size(F.col("dhash")).alias("hashes"))
+    own = F.when(F.col("mode") == "faces", F.col("faces")).otherwise(F.col("vector"))
+    number = F.round(F.get(F.try_element_at(own, F.lit(-1)), F.lit(0)).cast("double"), 6)
+    return rows.select("path", "mode", size(own).alias("frames"), size(F.col("dhash")).alias("hashes"), number.alias("number"), F.try_element_at("dhash", F.lit(-1)).alias("last_hash"))
 
 
 @query("SELECT DISTINCT path FROM metadata WHERE path IS NOT NULL")
@@ -156,15 +163,17 @@ def resolution_parts(spark, d):
 
 
 @query(
-    f"""WITH {t.CUR} SELECT path, round({t.penalty()}, 9) AS penalty, round({t.EFFECTIVE}, 4) AS effective_area, {t.BUCKET} AS bucket, round({t.SMART}, 4) AS smart, round({t.QUALITY}, 4) AS quality
-FROM cur WHERE mode = 'visual'"""
+    f"""WITH {t.CUR}, {t.RATIO} SELECT path, round({t.penalty()}, 9) AS penalty, round({t.EFFECTIVE}, 4) AS effective_area, {t.BUCKET} AS bucket, round({t.SMART}, 4) AS smart, round({t.QUALITY}, 4) AS quality,
+  round({t.WITHIN_BARS}, 4) AS within_bars, round({t.WITHIN_BARS} + {t.num('sharpness')}, 4) AS quality_within_bars
+FROM cur JOIN rat USING (path) WHERE mode = 'visual'"""
 )
 def quality_scores(spark, d):
-    rows = t.current(spark, d, ["size", "resolution", "duration", "sharpness", "watermark"])
-    effective = media.effective_area()
+    rows = t.current(spark, d, ["size", "resolution", "duration", "sharpness", "watermark"]).join(t.content_ratios(spark, d), "path")
+    effective, ratio = media.effective_area(), F.col("content_ratio")
     return rows.select(
         "path", F.round(media.penalty(), 9).alias("penalty"), F.round(effective, 4).alias("effective_area"), media.bucket(effective).alias("bucket"),
         F.round(media.smart_score(), 4).alias("smart"), F.round(media.quality_score(), 4).alias("quality"),
+        F.round(media.effective_area(content_ratio=ratio), 4).alias("within_bars"), F.round(media.quality_score(ratio), 4).alias("quality_within_bars"),
     )
 
 
@@ -174,7 +183,7 @@ def quality_scores(spark, d):
 )
 def display_columns(spark, d):
     rows = t.members(spark, d)
-    return rows.select("cluster_id", "path", media.size_mb().alias("size_mb"), media.minutes_seconds().alias("length"), (F.round(F.round(F.col("similarity") * 1000, 6)) / 10).alias("percent"))
+    return rows.select("cluster_id", "path", media.size_mb().alias("size_mb"), media.minutes_seconds().alias("length"), media.similarity_percent().alias("percent"))
 
 
 @query(
@@ -187,14 +196,14 @@ def slider_bars(spark, d):
 
 
 @query(
-    """SELECT event_id, printf('%02d:%02d:%02d', user_id // 3600, user_id // 60 % 60, user_id % 60) AS took, CASE WHEN event_id > 0 THEN floor(user_id * 100 / (user_id + event_id))::int ELSE 0 END AS percent,
+    """SELECT event_id, printf('%02d:%02d:%02d', user_id // 3600, user_id // 60 % 60, user_id % 60) AS took, CASE WHEN user_id + event_id > 0 THEN floor(user_id * 100 / (user_id + event_id))::int ELSE 0 END AS percent,
   least(100.0, greatest(0.0, value)) AS clamped FROM events"""
 )
 def scan_progress(spark, d):
     rows = t.table(spark, d, "events")
     user, event = F.col("user_id"), F.col("event_id")
     return rows.select(
-        "event_id", media.hours_minutes_seconds(user).alias("took"), F.when(event > 0, F.floor(user * 100 / (user + event)).cast("int")).otherwise(0).alias("percent"),
+        "event_id", media.hours_minutes_seconds(user).alias("took"), media.percent(user, user + event).alias("percent"),
         media.clamp(F.col("value"), 0.0, 100.0).alias("clamped"),
     )
 
@@ -226,9 +235,58 @@ def finite_vectors(spark, d):
     return t.current(spark, d, ["vector"]).select("path", usable("vector", t.DIMS).alias("usable"))
 
 
-@query("SELECT doc_id, sha256(text) AS hash FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, octet_length(encode(text)) AS size, sha256(text) AS hash FROM documents WHERE text <> ''")
 def content_hashes(spark, d):
-    return t.table(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.sha2("text", 256).alias("hash"))
+    """Every text as a file in the shared folder, listed and hashed there."""
+    rows = t.table(spark, d, "documents").where("text <> ''")
+    folder = t.as_files(rows.select(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.col("text").cast("binary").alias("content")), "texts")
+    found = files.hashed(files.listing(spark, [folder], [".TXT"]))
+    return found.select(F.substring_index(paths.basename(), ".", 1).cast("bigint").alias("doc_id"), "size", F.col("phash").alias("hash"))
+
+
+@query("SELECT vec_id, label, 246::bigint AS size FROM embeddings WHERE label <> 3")
+def listing_files(spark, d):
+    """Pictures in a folder for each label: one is hidden, and in each lie a hidden, an empty and another file."""
+    rows = t.table(spark, d, "embeddings")
+    place = F.concat(F.when(F.col("label") == 3, ".").otherwise(""), F.lit("label"), F.col("label").cast("string"), F.lit("/"))
+    stills = t.bitmaps(rows.select(F.concat(place, F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 2 == 0, ".BMP").otherwise(".bmp")).alias("name"), "embedding"))
+    others = rows.select(place.alias("place")).distinct()
+    for name, content in ((".hidden.bmp", b"x"), ("empty.bmp", b""), ("notes.txt", b"x")):
+        stills = stills.union(others.select(F.concat("place", F.lit(name)), F.lit(content)))
+    folder = t.as_files(stills, "listed")
+    found = files.listing(spark, [folder, folder + "/label1", folder + "/gone"], ["bmp"])
+    return found.select(F.regexp_extract("path", r"(\d+)\.[^.]+$", 1).cast("bigint").alias("vec_id"), F.regexp_extract("path", r"label(\d+)/", 1).cast("int").alias("label"), "size")
+
+
+@query(
+    f"""WITH g AS (SELECT vec_id, {t.CELLS} AS g FROM embeddings), {t.SHARP}
+SELECT vec_id, '8x8' AS resolution, 1 AS frames, sharpness, dhash FROM sh JOIN dh USING (vec_id)"""
+)
+def picture_features(spark, d):
+    """Every embedding as a picture file of 8 x 8 pixels, listed, decoded and measured."""
+    rows = t.table(spark, d, "embeddings")
+    folder = t.as_files(t.bitmaps(rows.select(F.concat(F.col("vec_id").cast("string"), F.lit(".bmp")).alias("name"), "embedding")), "pictures")
+    found = readers.features(files.listing(spark, [folder]))
+    return found.select(F.substring_index(paths.basename(), ".", 1).cast("bigint").alias("vec_id"), "resolution", "frames", F.round("sharpness", 4).alias("sharpness"), F.get("dhash", F.lit(0)).alias("dhash"))
+
+
+@query(
+    f"""WITH g AS (SELECT vec_id, {t.CELLS} AS g FROM embeddings), {t.SHARP},
+p AS (SELECT vec_id // 13 AS book, vec_id, row_number() OVER (PARTITION BY vec_id // 13 ORDER BY vec_id) - 1 AS page, count(*) OVER (PARTITION BY vec_id // 13) AS pages FROM g),
+s AS (SELECT * FROM p JOIN sh USING (vec_id) JOIN g USING (vec_id) WHERE page IN (0, CASE WHEN pages > 4 THEN floor(pages * 0.10::double) ELSE 0 END, CASE WHEN pages > 4 THEN floor(pages * 0.30::double) ELSE 0 END, CASE WHEN pages > 4 THEN floor(pages * 0.50::double) ELSE 0 END))
+SELECT book, count(*)::int AS frames, max(sharpness) AS sharpness, round(arg_min(g[1] / sqrt(g[1] * g[1] + g[2] * g[2]), (-sharpness, page)), 5) AS first FROM s GROUP BY 1"""
+)
+def book_features(spark, d):
+    """Comic books of 13 pages each: sampled pages are measured and the sharpest is embedded, by its first two pixels."""
+    rows = t.table(spark, d, "embeddings").select((F.floor(F.col("vec_id") / 13)).alias("book"), "vec_id", "embedding")
+    folder = t.as_files(t.books(rows), "books")
+
+    def embedder():
+        return lambda stills: [f[0, :2, 0].astype(float) for f in stills]
+
+    found = readers.features(files.listing(spark, [folder], ["cbz"]), embedder)
+    first = F.round(F.get(F.get("vector", F.lit(0)), F.lit(0)).cast("double"), 5)
+    return found.select(F.substring_index(paths.basename(), ".", 1).cast("bigint").alias("book"), "frames", F.round("sharpness", 4).alias("sharpness"), first.alias("first"))
 
 
 @query(f"WITH {t.CUR} SELECT path, round({t.side(1)} / {t.side(2)}, 6) AS ratio, CASE WHEN {t.side(1)} / {t.side(2)} >= 1.5 THEN 'TopToBottom' ELSE 'LeftToRight' END AS stacking FROM cur WHERE mode = 'visual' AND {t.sized()}")
@@ -237,8 +295,27 @@ def aspect_ratios(spark, d):
     return rows.select("path", F.round(media.aspect(), 6).alias("ratio"), media.stacking(media.aspect()).alias("stacking"))
 
 
-@query(f"WITH {t.CUR} SELECT path, lower(codec) AS codec, CASE WHEN fps > 0 AND NOT isnan(fps) THEN round(duration * fps)::bigint ELSE 0 END AS frames FROM cur WHERE mode = 'visual' AND {t.kind()} = 'video'")
+@query(
+    f"""WITH {t.CUR} SELECT path, lower(trim(codec)) AS codec, CASE WHEN fps > 0 AND NOT isnan(fps) THEN round(coalesce(len(dhash), 0) * 90 / fps, 6) ELSE 0 END AS duration
+FROM cur WHERE mode = 'visual' AND {t.kind()} = 'video'"""
+)
 def video_facts(spark, d):
-    rows = t.current(spark, d, ["codec", "fps", "duration"]).where(paths.kind() == "video")
-    fps = F.col("fps")
-    return rows.select("path", F.lower("codec").alias("codec"), F.when((fps > 0) & ~F.isnan(fps), F.round(F.col("duration") * fps).cast("bigint")).otherwise(0).alias("frames"))
+    """Duration from the number of frames, of which one in 90 has a hash here, and their rate."""
+    rows = t.current(spark, d, ["codec", "fps", "dhash"]).where(paths.kind() == "video")
+    facts = readers.film_facts(F.greatest(F.coalesce(F.size("dhash"), F.lit(0)), F.lit(0)) * 90, F.col("fps"), F.col("codec"))
+    return rows.select("path", facts["codec"].alias("codec"), F.round(facts["duration"], 6).alias("duration"))
+
+
+@query("SELECT DISTINCT sz AS picture, mode, greatest(1, round_even(sz * least(1.0, side / greatest(sz, 300.0)), 0))::int AS width FROM (SELECT p_size * 40 AS sz FROM part), (VALUES ('faces', 1024), ('visual', 512), ('exact', 256)) m(mode, side)")
+def resize_policy(spark, d):
+    """Width of pictures 300 pixels high after fitting them to the longest side of each mode."""
+    sizes = t.table(spark, d, "part").select((F.col("p_size") * 40).cast("int").alias("picture")).distinct()
+
+    def fit(batches):
+        for batch in batches:
+            wide = batch.column("picture").to_pylist()
+            for mode in ("faces", "visual", "exact"):
+                widths = [readers.fitted(np.zeros((300, w, 1), np.uint8), readers.largest_side(mode)).shape[1] for w in wide]
+                yield pa.RecordBatch.from_pydict({"picture": pa.array(wide, pa.int32()), "mode": [mode] * len(wide), "width": pa.array(widths, pa.int32())})
+
+    return sizes.mapInArrow(fit, "picture int, mode string, width int")

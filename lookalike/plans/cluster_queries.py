@@ -39,8 +39,8 @@ cl AS (SELECT leader, path, similarity FROM mb UNION ALL SELECT DISTINCT leader,
 
 
 def clusters(spark, d):
-    rows = t.current(spark, d, ["vector", "faces", "dhash", "size"])
-    sizes = rows.select("path", "size")
+    rows = t.current(spark, d, ["vector", "dhash", "size"])
+    sizes = t.current(spark, d, ["size"]).select("path", "size")
     return clustering.leaders(sim.edges(rows, t.SLIDER, dims=t.DIMS), sizes), sizes
 
 
@@ -147,12 +147,12 @@ def compare_pages(spark, d):
 
 
 @query(
-    f"""WITH {t.CUR} SELECT path, greatest(0, least((coalesce(len(dhash), 0) * 70 / 100)::decimal(9, 0)::int, coalesce(len(dhash), 0) - 1))::int AS at70, greatest(0, least(3, coalesce(len(dhash), 0) - 1))::int AS held
-FROM cur WHERE mode = 'visual' AND (coalesce(len(dhash), 0) * 70) % 100 = 0"""
+    f"""WITH {t.CUR} SELECT path, greatest(0, least(coalesce(len(dhash), 0) * 70 // 100, coalesce(len(dhash), 0) - 1))::int AS at70, greatest(0, least(3, coalesce(len(dhash), 0) - 1))::int AS held
+FROM cur WHERE mode = 'visual'"""
 )
 def frame_index(spark, d):
     n = F.greatest(F.coalesce(F.size("dhash"), F.lit(0)), F.lit(0))
-    rows = t.current(spark, d, ["dhash"]).where(n * 70 % 100 == 0)
+    rows = t.current(spark, d, ["dhash"])
     return rows.select("path", annotate.nearest_index(n, F.lit(70)).alias("at70"), annotate.held_index(n, F.lit(3)).alias("held"))
 
 
@@ -205,6 +205,10 @@ for _name, (_order, _strategy, _options) in _ORDERS.items():
     Q[_name] = lambda spark, d, strategy=_strategy, options=_options: keepers.keepers(t.members(spark, d), strategy, **options)
     SQL[_name] = keeper_sql(_order) + _KEPT
 
+for _name, _order, _strategy in (("keeper_letterbox", _CASCADE.replace(t.EFFECTIVE, t.WITHIN_BARS), "cascade"), ("keeper_quality_letterbox", f"round({t.WITHIN_BARS} + {t.num('sharpness')}, 6) DESC", "quality")):
+    Q[_name] = lambda spark, d, strategy=_strategy: keepers.keepers(t.members(spark, d).join(t.content_ratios(spark, d), "path"), strategy)
+    SQL[_name] = f"WITH {t.MEM}, {t.RATIO}, k AS (SELECT cluster_id, path, row_number() OVER (PARTITION BY cluster_id ORDER BY {_order}, path) AS rn, count(*) OVER (PARTITION BY cluster_id) AS n FROM mem JOIN rat USING (path))" + _KEPT
+
 _TIER = f"CASE WHEN {_segments(PROTECTED)} THEN 0 WHEN {_segments(DISLIKED)} THEN 2 ELSE 1 END"
 
 

@@ -52,7 +52,8 @@ edge AS (SELECT a, b, sim FROM pb WHERE CASE WHEN multi AND NOT coalesce(bits <=
 
 
 def items(spark, d, mode="visual"):
-    return t.current(spark, d, ["vector", "faces", "dhash"], mode).withColumn("vector", F.col("vector" if mode == "visual" else "faces"))
+    column = "vector" if mode == "visual" else "faces"
+    return t.current(spark, d, [column, "dhash"] if mode == "visual" else [column], mode).withColumnRenamed(column, "vector")
 
 
 @query(f"WITH {vector_sql()} SELECT path, frame, round(vec[1] / sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS first, round(vec[64] / sqrt(list_sum(list_transform(vec, lambda x: x * x))), 6) AS last FROM cen")
@@ -128,24 +129,37 @@ def dhash_bits(spark, d):
     return t.table(spark, d, "embeddings").select("vec_id", gradient_hash(_cells()).alias("dhash"))
 
 
-def _grid(column="embedding"):
-    """An 8 x 8 grid of luminances from a vector of 64 numbers."""
-    value = lambda i: 128 + 300 * F.get(column, i)
-    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda c: value(r * 8 + c).cast("double")))
-
-
-@query()
+@query(
+    f"""WITH g AS (SELECT vec_id, list_transform(embedding, lambda x: greatest(0, 1200 * x::double)) AS g FROM embeddings), {t.SHARP},
+lit AS (SELECT vec_id, len(list_filter(range(8), lambda r: list_sum(g[r * 8 + 1 : r * 8 + 8]) / 8 > 8)) / 8.0 * len(list_filter(range(8), lambda c: list_sum(list_transform(range(8), lambda r: g[r * 8 + c + 1])) / 8 > 8)) / 8.0 AS share FROM g)
+SELECT vec_id, sharpness, dhash, CASE WHEN share >= 0.4 THEN share ELSE 1.0 END AS content_ratio FROM sh JOIN dh USING (vec_id) JOIN lit USING (vec_id)"""
+)
 def image_kernels(spark, d):
-    rows = t.table(spark, d, "embeddings").withColumn("grid", _grid())
-    return rows.select("vec_id", F.round(image.sharpness("grid"), 4).alias("sharpness"), image.content_ratio("grid").alias("content_ratio"), image.dhash("grid").alias("dhash"))
+    """Every embedding as an 8 x 8 picture, bright where it is positive."""
+    cell = lambda x: F.greatest(F.lit(0.0), x.cast("double") * 1200)
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, F.lit(8)), cell))
+    rows = image.measured(t.table(spark, d, "embeddings").select("vec_id", grid.alias("grid")), "grid", "sharpness", "content_ratio", "dhash")
+    return rows.withColumn("sharpness", F.round("sharpness", 4))
 
 
-@query()
+@query(
+    f"""WITH {t.CUR}, ok AS (SELECT path, vector FROM cur WHERE mode = 'visual' AND {_GOOD}),
+px AS (SELECT path, i // 8 AS y, i % 8 AS x, stddev_pop(128 + 600 * v[i + 1]::double) AS sd, avg(128 + 600 * v[i + 1]::double) AS m FROM (SELECT path, v, unnest(range(64)) AS i FROM (SELECT path, unnest(vector) AS v FROM ok WHERE len(vector) >= 3)) GROUP BY 1, 2, 3),
+ed AS (SELECT *, avg(sd) OVER (PARTITION BY path) AS motion, abs(coalesce(lead(m) OVER (PARTITION BY path, y ORDER BY x) - m, 0)) + abs(coalesce(lead(m) OVER (PARTITION BY path, x ORDER BY y) - m, 0)) AS edge FROM px),
+sc AS (SELECT path, CASE WHEN min(motion) < 8 THEN 0.0 ELSE avg((sd < 0.35 * motion AND edge > 18)::int) END AS watermark FROM ed GROUP BY 1)
+SELECT path, round(coalesce(watermark, 0.0), 6) AS watermark FROM ok LEFT JOIN sc USING (path)"""
+)
 def watermark_scores(spark, d):
     """Static marks over the frames of current visual rows, their vectors read as 8 x 8 pictures."""
     ok = items(spark, d).where(sim.usable("vector", t.DIMS))
-    grids = F.transform("vector", lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice(v, r * 8 + 1, F.lit(8)), lambda x: (128 + 300 * x).cast("double"))))
-    return ok.select("path", F.round(image.watermark_score(grids), 6).alias("watermark"))
+    grids = F.transform("vector", lambda v: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice(v, r * 8 + 1, F.lit(8)), lambda x: 128 + 600 * x.cast("double"))))
+    return image.measured(ok.select("path", grids.alias("film")), "film", "watermark").withColumn("watermark", F.round("watermark", 6))
+
+
+@query()
+def edges_by_cells(spark, d):
+    """The similarity graph as it is made beyond the number of frames up to which it is exact."""
+    return sim.edges(items(spark, d), t.SLIDER, dims=t.DIMS, exact_frames=0).select("a", "b", F.round("sim", 6).alias("sim"))
 
 
 def _indices_sql(sort: str, n: str) -> str:
@@ -171,12 +185,6 @@ def frame_sampling(spark, d):
     return rows.select("path", F.array_join(F.array_sort(picked).cast("array<string>"), ",").alias("frames"))
 
 
-@query("SELECT l_orderkey, arg_max(l_linenumber, (l_extendedprice, -l_linenumber)) AS page, count(*) AS pages FROM lineitem GROUP BY 1")
-def best_page(spark, d):
-    best = F.max_by("l_linenumber", F.struct("l_extendedprice", -F.col("l_linenumber")))
-    return t.table(spark, d, "lineitem").groupBy("l_orderkey").agg(best.alias("page"), F.count("*").alias("pages"))
-
-
 @query(
     f"""WITH {t.CUR}, h AS (SELECT path, lower(phash) AS phash FROM cur WHERE mode = 'visual' AND regexp_full_match(phash, '[0-9a-fA-F]{{64}}')),
 g AS (SELECT phash, min(path) AS first, count(*) AS copies FROM h GROUP BY 1 HAVING count(*) > 1) SELECT path, first, copies FROM h JOIN g USING (phash)"""

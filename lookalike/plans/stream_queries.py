@@ -55,19 +55,25 @@ def _streamed(spark, d, write):
     return base
 
 
-@query(f"WITH {t.CUR}, {t.EVENTS} SELECT DISTINCT path, mode FROM cur WHERE path NOT IN (SELECT path FROM ev WHERE kind IN ('deleted', 'moved'))")
+@query(f"WITH {t.CUR}, {t.LAST} SELECT DISTINCT path, mode FROM cur WHERE path NOT IN (SELECT path FROM gone)")
 def fs_stream_prune(spark, d):
-    """The catalog after a stream of events pruned it: a path that any event took away is gone."""
+    """The catalog after a stream of events pruned it: a path whose last event took it away is gone."""
 
     def write(source, base):
-        gone = source.where(events.event_kind().isin(events.REMOVING))
-        apply = lambda rows, number: rows.write.mode("overwrite").parquet(f"{base}/gone/batch={number}")
-        return events.prune(gone, apply, f"{base}/checkpoint")
+        apply = lambda rows, number: rows.write.mode("overwrite").parquet(f"{base}/states/batch={number}")
+        return events.prune(source, apply, f"{base}/checkpoint")
 
-    gone = spark.read.schema("path string, batch int").parquet(_streamed(spark, d, write) + "/gone")
+    states = spark.read.schema("path string, event_type string, at bigint, got bigint, batch int").parquet(_streamed(spark, d, write) + "/states")
+    gone = events.gone(states)
     return ingest.delete(t.current(spark, d, ["size"], None), gone).select("path", "mode")
 
 
+@query(f"WITH {t.CUR}, {t.LAST} SELECT path FROM gone WHERE path NOT IN (SELECT path FROM cur WHERE mode = 'faces')")
+def fs_removed_unlisted(spark, d):
+    """Files that went away and that a fresh listing doesn't have again."""
+    return events.removed(t.table(spark, d, "fs_log"), t.listing(spark, d))
+
+
 @query()
 def fs_stream_windows(spark, d):
     """Windowed counts written by a stream with a watermark; late rows beyond it are dropped.

@@ -80,6 +80,13 @@ def stage_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/lookalike/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    _made[path] = spark
+    return path
+
+
 def release(spark: SparkSession) -> None:
     """Drop the shuffle files of frames that are no longer referenced. Spark removes them when the driver
     collects its garbage, which between the rounds of an iteration may be much later than the disks fill."""

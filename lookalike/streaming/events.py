@@ -34,15 +34,23 @@ def coalesced(events: DataFrame, window: str = "1 second") -> DataFrame:
     return grouped.select(F.unix_micros("w.start").alias("at"), "path", "event_type", "events")
 
 
-def last_states(events: DataFrame) -> DataFrame:
-    """(path, event_type, at): the last event of each path by time, by arrival, then by type."""
+def last_states(events: DataFrame, arrival: bool = False) -> DataFrame:
+    """(path, event_type, at[, got]): the last event of each path by time, by arrival, then by type."""
     last = F.max(F.struct(F.unix_micros("ts").alias("at"), F.unix_micros("received_at").alias("got"), "event_type")).alias("e")
-    return cleaned(events).where(F.col("ts").isNotNull()).groupBy("path").agg(last).select("path", "e.event_type", "e.at")
+    return cleaned(events).where(F.col("ts").isNotNull()).groupBy("path").agg(last).select("path", "e.event_type", "e.at", *(["e.got"] if arrival else []))
 
 
-def removed(events: DataFrame) -> DataFrame:
-    """(path): files whose last event took them away."""
-    return last_states(events).where(F.col("event_type").isin(REMOVING)).select("path")
+def removed(events: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """(path): files whose last event took them away, and which a listing, if there is one, doesn't have again."""
+    return gone(last_states(events), listing)
+
+
+def gone(states: DataFrame, listing: DataFrame | None = None) -> DataFrame:
+    """(path): as removed, from states (path, event_type, at) that may come from several batches; the last of each path
+    counts, by time, then by arrival where states have it, then by type."""
+    order = [c for c in ("at", "got", "event_type") if c in states.columns]
+    last = states.groupBy("path").agg(F.max(F.struct(*order)).alias("e")).where(F.col("e.event_type").isin(REMOVING)).select("path")
+    return last if listing is None else last.join(listing.select("path"), "path", "left_anti")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
@@ -62,13 +70,15 @@ def deduplicated(stream: DataFrame, late: str = "10 minutes") -> DataFrame:
 
 
 def prune(stream: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
-    """Hand each micro-batch of paths that went away to `apply`; all that is there, or one batch per `every`.
+    """Hand the last states (path, event_type, at, got) of each micro-batch to `apply`; all that is there, or one batch
+    per `every`. A file may go in one batch and come again in another, so `apply` keeps states and `gone` tells
+    from all of them what went away.
 
     The checkpoint remembers what was applied, so a restarted query goes on where it stopped; a batch may
-    be applied twice, which removing by key allows.
+    be applied twice, which does no harm, as a batch is written under its number.
     """
     def batch(rows: DataFrame, number: int) -> None:
-        apply(removed(rows), number)
+        apply(last_states(rows, arrival=True), number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -5,6 +5,7 @@ import math
 import random
 import time
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -152,26 +153,78 @@ def test_frame_hash_matches_column_form(spark):
     rng = np.random.default_rng(1)
     grids = rng.integers(0, 255, (20, 8, 9)).astype(float)
     df = spark.createDataFrame([(g.ravel().tolist(), g.tolist()) for g in grids], "cells array<double>, grid array<array<double>>")
-    got = df.select(bits.gradient_hash(F.col("cells")).alias("x"), image.dhash("grid").alias("y")).collect()
-    assert all(r.x == r.y for r in got)
-    assert image.frame_hash(np.tile(np.arange(18.0), (16, 1))) == -1
+    got = image.measured(df.select(bits.gradient_hash(F.col("cells")).alias("x"), "grid"), "grid", "dhash").collect()
+    assert all(r.x == r.dhash for r in got)
+    assert image.frame_hash(np.tile(np.arange(18.0), (1, 16, 1))).tolist() == [-1]
 
 
 def test_image_kernels():
-    flat, edge = np.full((32, 32), 100.0), np.zeros((32, 32))
-    edge[:, 16:] = 200
-    assert image.laplacian_sharpness(flat) == 0 and image.laplacian_sharpness(edge) > 0
-    assert image.laplacian_sharpness(None) == 0 and image.laplacian_sharpness(np.zeros((1, 5))) == 0
-    boxed = np.full((40, 40), 120.0)
-    boxed[:8] = boxed[-8:] = 0
-    assert image.lit_ratio(boxed) == pytest.approx(0.6) and image.lit_ratio(np.zeros((9, 9))) == 1.0 and image.lit_ratio(None) == 1.0
+    flat, edge = np.full((1, 32, 32), 100.0), np.zeros((1, 32, 32))
+    edge[:, :, 16:] = 200
+    assert image.sharpness(flat) == 0 and image.sharpness(edge) > 0
+    assert image.sharpness(np.zeros((1, 1, 5))) == 0
+    # Below 4 pixels a side a block is one pixel high or wide; blocks of a single pixel don't count.
+    small = np.zeros((1, 4, 9))
+    small[0, 1, 3] = 50
+    lap = image.second_differences(small)[0]
+    assert lap[1, 3] == -200 and lap[0, 3] == 100 and image.sharpness(small)[0] == max(lap[y, x : x + 2].var() for y in range(4) for x in range(0, 8, 2))
+    assert image.sharpness(np.eye(3)[None] * 255)[0] == 0
+    boxed = np.full((1, 40, 40), 120.0)
+    boxed[:, :8] = boxed[:, -8:] = 0
+    assert image.lit_ratio(boxed)[0] == pytest.approx(0.6) and image.lit_ratio(np.zeros((1, 9, 9)))[0] == 1.0
+
+
+def test_static_marks_count_at_the_pixel_left_of_and_above_the_step():
     rng = np.random.default_rng(0)
-    frames = [rng.uniform(0, 255, (90, 160)) for _ in range(5)]
-    assert image.static_share(frames[:2]) == 0
-    for f in frames:
-        f[10:20, 10:30] = 255
-        f[10:20, 15] = 0
-    assert image.static_share(frames) > 0 and image.static_share([flat] * 4) == 0
+    film = rng.uniform(0, 255, (1, 40, 90, 160))
+    film[:, :, 10:20, 10:30] = 255
+    assert image.static_share(film[:, :2])[0] == 0 and image.static_share(np.full((1, 4, 9, 9), 3.0))[0] == 0
+    film[:, :, 10:20, 15:] = 0
+    still = np.zeros((90, 160), bool)
+    still[10:20, 10:] = True
+    mean = film[0].mean(axis=0)
+    step = np.pad(np.abs(np.diff(mean, axis=1)), ((0, 0), (0, 1))) + np.pad(np.abs(np.diff(mean, axis=0)), ((0, 1), (0, 0)))
+    assert step[15, 14] == 255 and step[15, 15] == 0
+    assert image.static_share(film)[0] == pytest.approx((still & (step > 18)).mean())
+
+
+def test_measured_handles_missing_and_ragged_pictures_and_builds_twice(spark):
+    one = [[10.0] * 4] * 4
+    rows = [(1, one), (2, None), (3, []), (4, [[1.0], [1.0, 2.0]]), (5, [[0.0] * 4] * 4), (6, [None, [1.0]])]
+    for _ in range(2):
+        df = spark.createDataFrame(rows, "id int, picture array<array<double>>")
+        got = {r.id: (r.content_ratio, r.sharpness, r.dhash is None) for r in image.measured(df, "picture", "content_ratio", "sharpness", "dhash").collect()}
+        assert got == {1: (1.0, 0.0, False), 2: (1.0, 0.0, True), 3: (1.0, 0.0, True), 4: (1.0, 0.0, True), 5: (1.0, 0.0, False), 6: (1.0, 0.0, True)}
+        assert image.measured(df.limit(0), "picture", "sharpness").count() == 0
+
+
+def test_pictures_survive_writing_and_reading():
+    rng = np.random.default_rng(2)
+    frame = rng.integers(0, 256, (9, 7, 3)).astype(np.uint8)
+    assert (readers.decode_png(readers.encode_png(frame)) == frame).all()
+    lines = rng.integers(0, 256, (5, 6, 3)).astype(np.uint8)
+    raw, before = b"", np.zeros((7, 3), int)
+    for y, sort in enumerate((1, 2, 3, 4, 0)):
+        row, out = np.vstack([np.zeros((1, 3), int), lines[y].astype(int)]), []
+        for x in range(1, 7):
+            left, up, corner = row[x - 1], before[x], before[x - 1]
+            guess = left + up - corner
+            far = np.abs(np.stack([guess - left, guess - up, guess - corner]))
+            paeth = np.where((far[0] <= far[1]) & (far[0] <= far[2]), left, np.where(far[1] <= far[2], up, corner))
+            out.append((row[x] - (0, left, up, (left + up) // 2, paeth)[sort]) % 256)
+        raw, before = raw + bytes([sort]) + np.array(out, np.uint8).tobytes(), row
+    png = readers.encode_png(lines)
+    start = png.index(b"IDAT")
+    body = zlib.compress(raw)
+    assert (readers.decode_png(png[: start - 4] + len(body).to_bytes(4, "big") + b"IDAT" + body + bytes(4)) == lines).all()
+    assert readers.fitted(np.zeros((300, 900, 3), np.uint8), 256).shape == (85, 256, 3) and readers.fitted(frame, 256) is frame
+
+
+def test_faces_are_cropped_by_probability():
+    frame = np.arange(100 * 100 * 3, dtype=np.uint32).reshape(100, 100, 3)
+    assert readers.cropped(frame, []) is None and readers.cropped(frame, [((40, 40, 60, 60), 0.95)]) is None
+    assert readers.cropped(frame, [((40, 40, 60, 60), 0.96), ((0, 0, 10, 10), 0.99)]).shape == (26, 26, 3)
+    assert readers.cropped(frame, [((40, 50, 60, 60), 0.96)]).shape == (42, 52, 3)
 
 
 def test_hash_distance(spark):
@@ -201,20 +254,85 @@ def test_listing_catalog_and_readers(spark, tmp_path):
     (lib / "sub" / ".cache").mkdir(parents=True)
     for name, size in (("a.JPG", 5), ("b.txt", 3), ("empty.jpg", 0), (".dot.jpg", 4), ("sub/c.cbz", 0), ("sub/.cache/d.jpg", 4)):
         (lib / name).write_bytes(b"x" * size)
+    (tmp_path / "away").mkdir()
+    (tmp_path / "away" / "e.jpg").write_bytes(b"x")
+    (lib / "linked.jpg").symlink_to(lib / "a.JPG")
+    (lib / "linked").symlink_to(tmp_path / "away")
     with zipfile.ZipFile(lib / "sub" / "c.cbz", "w") as z:
         z.writestr("1.png", b"no picture")
-    rows = files.listing(spark, [str(lib), str(lib / "sub")], ["jpg", ".cbz"])
+    rows = files.listing(spark, [str(lib), str(lib / "sub"), str(lib / "none")], ["jpg", ".cbz"])
     assert sorted(r.path.rsplit("/", 1)[-1] for r in rows.collect()) == ["a.JPG", "c.cbz"]
-    got = {r.path.rsplit("/", 1)[-1]: (r.frames, r.error is not None) for r in readers.features(files.listing(spark, [str(lib)], content=True)).collect()}
+    assert "content:binary" not in rows._jdf.queryExecution().executedPlan().toString()
+    every = files.listing(spark, [str(lib)])
+    got = {r.path.rsplit("/", 1)[-1]: (r.frames, r.error is not None) for r in readers.features(every).collect()}
     assert got == {"a.JPG": (0, True), "b.txt": (0, True), "c.cbz": (0, True)}
-    hashed = files.listing(spark, [str(lib)], content=True).select("path", files.content_hash().alias("h")).collect()
-    assert all(len(r.h) == 64 for r in hashed)
-    empty = spark.createDataFrame([("/a", 1, 2.0, None, None, None, None, None, None, None, None, [[1.0, 2.0], [3.0, 4.0]], None, at(1), "visual")], SCHEMA)
-    files.write_catalog(empty, str(tmp_path / "cat"))
+    assert files.listing(spark, []).count() == 0 and files.listing(spark, [str(lib / "none")]).count() == 0
+    row = spark.createDataFrame([("/a", 1, 2.0, None, None, None, None, None, None, None, None, [[1.0, 2.0], [3.0, 4.0]], None, at(1), "visual")], SCHEMA)
+    files.write_catalog(row, str(tmp_path / "cat"))
     assert files.read_catalog(spark, str(tmp_path / "cat")).first().vector == [[1.0, 2.0], [3.0, 4.0]]
+    files.append_catalog(row.withColumn("size", F.lit(9).cast("bigint")).withColumn("last_scan", F.lit(at(2))), str(tmp_path / "cat"))
+    files.compact_catalog(spark, str(tmp_path / "cat"), str(tmp_path / "less"), 1)
+    assert [r["size"] for r in files.read_catalog(spark, str(tmp_path / "less")).collect()] == [9]
     assert readers.indices(100, "video") == [15, 30, 50, 70, 85] and readers.indices(3, "pdf") == [0] and readers.indices(0, "gif") == []
 
 
+def test_hashes_of_whole_and_sampled_files(spark, tmp_path):
+    import hashlib
+
+    content = bytes(range(256)) * 40
+    (tmp_path / "a.bin").write_bytes(content)
+    (tmp_path / "b.bin").write_bytes(b"y" + content[1:])
+    (tmp_path / "c.bin").write_bytes(content[:1] + b"z" + content[2:])
+    rows = files.listing(spark, [str(tmp_path)])
+    hashes = lambda **options: {r.path[-5]: r.phash for r in files.hashed(rows.withColumn("mtime", F.lit(1.0)), **options).collect()}
+    whole = hashes()
+    assert whole["a"] == hashlib.sha256(content).hexdigest() and len(set(whole.values())) == 3
+    sampled = hashes(whole=100, sample=1)
+    assert sampled["a"] == sampled["c"] != sampled["b"]
+    assert hashlib.sha256(bytes(content[1024 * i] for i in range(10)) + b"10240_1.0_.bin").hexdigest() == sampled["a"]
+    gone = rows.withColumn("path", F.concat("path", F.lit("x")))
+    assert all(r.phash.startswith("FAIL_") for r in files.hashed(gone).collect())
+
+
+def test_thumbnails_are_stored_by_key(spark, tmp_path):
+    bars = np.zeros((900, 1000, 3), np.uint8)
+    bars[100:800] = 200
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.png").write_bytes(readers.encode_png(bars))
+    (tmp_path / "in" / "b.png").write_bytes(b"broken")
+    rows = files.listing(spark, [str(tmp_path / "in")])
+    files.write_thumbnails(readers.thumbnails(rows, readers.encode_png), rows, str(tmp_path / "thumbs"))
+    stored = spark.read.parquet(str(tmp_path / "thumbs"))
+    got = {r.path[-5]: r for r in files.with_thumbnails(rows, stored).collect()}
+    assert readers.decode_png(bytes(got["a"].picture)).shape == (576, 640, 3) and got["a"].ratio == pytest.approx(0.78, abs=0.01) and got["b"].picture is None
+    assert files.with_thumbnails(rows.withColumn("size", F.col("size") + 1), stored).where("picture is not null").count() == 0
+
+
+@pytest.mark.parametrize("most", [1, 7, 50])
+def test_numbers_are_dense_in_order(spark, most):
+    rng = random.Random(most)
+    rows = [(rng.randint(0, 5), i) for i in range(200)]
+    from lookalike.operators.numbering import numbered
+
+    got = numbered(spark.createDataFrame(rows, "k int, id int").repartition(5), "n", F.col("k").desc(), "id").collect()
+    assert [(r.k, r.id) for r in sorted(got, key=lambda r: r.n)] == sorted(rows, key=lambda r: (-r[0], r[1])) and sorted(r.n for r in got) == list(range(1, 201))
+    assert numbered(spark.createDataFrame([], "k int"), "n", "k").count() == 0
+    step = max(1, 200 // most)
+    assert sorted(r.id for r in views.stride_sample(spark.createDataFrame(rows, "k int, id int").select("id"), "id", most).collect()) == list(range(0, step * most, step))[:most]
+
+
+def test_cells_find_nearly_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((60, 16))
+    rows = [(f"/{g:02d}_{i}", 0, (c + 0.4 * rng.standard_normal(16)).tolist()) for g, c in enumerate(centres) for i in range(6)]
+    unit = similarity.centred(spark.createDataFrame(rows, "path string, frame int, vec array<double>")).cache()
+    want = {(r.a, r.b) for r in similarity.block_pairs(unit, 0.7).collect()}
+    for options in ({"cells": 40, "probes": 12}, {"cells": 40, "probes": 12, "block": 4}):
+        got = {(r.a, r.b) for r in similarity.cell_pairs(unit, 0.7, **options).collect()}
+        assert got <= want and len(got) >= 0.95 * len(want) > 500
+    assert similarity.cell_pairs(unit.limit(0), 0.7).count() == 0
+
+
 def test_views(spark):
     rows = [(1, "/a/x.jpg", 1, 0.9, 5, False), (1, "/a/y.pdf", 2, 0.8, 7, True), (2, "/b/z.mp4", 1, 1.0, 3, False), (2, "/b/x.xyz", 2, None, None, False)]
     df = spark.createDataFrame(rows, "cluster_id int, path string, pos int, similarity double, size bigint, is_ref boolean")
@@ -236,11 +354,15 @@ def test_event_stream_prunes_and_restarts(spark, tmp_path):
 
     put("a", [(at(1), "/a", "deleted", at(2)), (at(1), "/b", " MODIFIED", at(2)), (at(1), None, "deleted", at(2)), (at(1), "/c", None, at(2))])
     seen = []
-    run = lambda: events.prune(events.read(spark, str(tmp_path / "log")), lambda rows, n: seen.extend(r.path for r in rows.collect()), str(tmp_path / "ckpt")).awaitTermination()
+    take = lambda rows, n: seen.extend((r.path, r.event_type, r["at"], r.got) for r in rows.collect())
+    run = lambda: events.prune(events.read(spark, str(tmp_path / "log")), take, str(tmp_path / "ckpt")).awaitTermination()
+    gone = lambda listed=None: sorted(r.path for r in events.gone(spark.createDataFrame(seen, "path string, event_type string, at bigint, got bigint"), listed).collect())
     run()
+    assert gone() == ["/a"]
     put("b", [(at(3), "/b", "Moved", at(4)), (at(3), "/a", "created", at(4))])
     run()
-    assert seen == ["/a", "/b"]
+    assert len(seen) == 4 and gone() == ["/b"]
+    assert gone(spark.createDataFrame([("/b",)], "path string")) == []
 
 
 def test_event_states(spark):
@@ -251,12 +373,25 @@ def test_event_states(spark):
     assert sorted(r.events for r in twice) == [2, 2]
 
 
-def test_features_embed_and_pick(spark, tmp_path, monkeypatch):
+def test_features_embed_and_pick(spark, tmp_path):
     (tmp_path / "a.jpg").write_bytes(b"x")
-    rows = files.listing(spark, [str(tmp_path)], content=True)
-    got = readers.features(rows, lambda: lambda frames: np.array([[3.0, 4.0]] * len(frames))).first()
-    assert got.error and got.vector is None and got.frames == 0
-    blurred, sharp = np.full((20, 20), 9.0), np.tile([0.0, 200.0], (20, 10))
+    frame = np.full((600, 300, 3), 90, np.uint8)
+    frame[:, :, 1] = 180
+    (tmp_path / "b.png").write_bytes(readers.encode_png(frame))
+    rows = files.listing(spark, [str(tmp_path)])
+
+    def embedder():
+        return lambda frames: np.array([[f.shape[0], f[..., 1].mean()] for f in frames], float)
+
+    def detector():
+        return lambda f: [((0, 0, 100, 100), 0.99 if f.shape[0] > 500 else 0.5)]
+
+    got = {r.path[-5]: r for r in readers.features(rows, embedder).collect()}
+    assert got["a"].error and got["a"].vector is None and got["a"].frames == 0
+    assert got["b"].resolution == "300x600" and got["b"].vector[0] == pytest.approx([512 / math.hypot(512, 180), 180 / math.hypot(512, 180)], abs=1e-5)
+    faces = {r.path[-5]: r.vector for r in readers.features(rows, embedder, "faces", detector).collect()}
+    assert faces["a"] is None and faces["b"][0] == pytest.approx([116 / math.hypot(116, 180), 180 / math.hypot(116, 180)], abs=1e-5)
+    blurred, sharp = np.full((20, 20, 3), 9, np.uint8), np.tile(np.array([[0], [200]], np.uint8)[None], (20, 10, 3)).reshape(20, 20, 3)
     assert readers.chosen("pdf", [blurred, sharp, sharp])[0] is sharp and len(readers.chosen("gif", [blurred, sharp])) == 2
 
 
