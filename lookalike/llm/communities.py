@@ -16,7 +16,7 @@ LEAST = 0.82
 #: Neighbours by which a node introduces others to each other in a round of descent.
 LIST = 24
 #: The hash tables from which the lists start.
-START = V.Shape(tables=3)
+START = V.Shape(tables=3, at_once=1)
 #: Descent ends with the round that adds less than this share of the edges.
 SETTLED = 0.002
 #: Moving ends with a round that raises modularity by no more.

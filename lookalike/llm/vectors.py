@@ -48,7 +48,7 @@ class Shape:
     functions: int = 3
     probes: int = 8
     #: Tables whose rows are shuffled at once: what bounds the disk.
-    at_once: int = 3
+    at_once: int = 2
 
 
 def own_frames() -> Column:
