@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from lookalike.llm import leaks, residue, tokens
+from lookalike.llm import residue_seeds as seeds
 
 
 def docs(spark, texts):
@@ -132,7 +133,29 @@ FINE = [
 ]
 
 
-def test_held_out_residue_and_mentions(spark):
+UNSEEN = [
+    "Dear [[CUSTOMER]], your order {{order_id}} has shipped.", "Lorem ipsum dolor amet, consectetur elit sed tempor.", "Error 404: this page was not found", "502 Bad Gateway, try again later", "JavaScript must be enabled to view this album.",
+    "TODO: add a description", "Bitte schalten Sie JavaScript ein.", "Страница не была найдена.", "Texto de relleno, por favor sustituir.", "Placeholder text, to be replaced.", "You have no permission to view this album.", "Die Seite konnte nicht gefunden werden.",
+]
+
+
+def test_most_wordings_that_no_seed_has_are_found():
+    model = residue.Model(residue.seed_counts(), residue.empty_counts())
+    known = {residue.plain(p) for s in (*seeds.FILLER, *seeds.ERRORS, *seeds.SCRIPTS) for p in {s, *residue.pieces(s)}}
+    forms = [residue.plain(p) for t in UNSEEN for p in residue.pieces(t)]
+    assert not known & set(forms)
+    assert (model.kinds(forms) != residue.PROSE).mean() >= 0.75
+    assert model.kinds([residue.plain(t) for t in ("Lorem ipsum dolor sit amet.", "Error 404: page not found")]).tolist() == [residue.FILLER, residue.NOTICES]
+
+
+def test_a_corpus_twice_as_large_gives_the_same(spark):
+    texts = [*FINE, *RESIDUE]
+    once = {r.doc_id for r in residue.found(docs(spark, texts * 3)).collect()}
+    twice = {r.doc_id for r in residue.found(docs(spark, texts * 6)).collect()}
+    assert {i % len(texts) for i in once} == {i % len(texts) for i in twice}
+
+
+def test_residue_and_mentions(spark):
     texts = [*FINE, *RESIDUE, *(f"{PROSE[i % len(PROSE)]}\n\n{r}" for i, r in enumerate(RESIDUE))]
     rows = docs(spark, texts * 3)
     got = {r.doc_id % len(texts) for r in residue.found(rows).collect()}
@@ -148,4 +171,4 @@ def test_residue_of_no_rows(spark):
 
 def test_wrapped_lines_are_joined():
     assert residue.pieces("a line that was broken for its\nwidth and goes on. Next\n\nTitle") == ["a line that was broken for its width and goes on.", "Next", "Title"]
-    assert isinstance(residue.train([]), residue.Model) and pa is not None
+    assert pa is not None
