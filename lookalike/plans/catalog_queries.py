@@ -7,10 +7,10 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lookalike.functions import media, paths
-from lookalike.operators import ingest
+from lookalike.operators import ingest, views
 from lookalike.operators.similarity import usable
 from lookalike.plans import tables as t
-from lookalike.sources import files
+from lookalike.sources import actions, files
 from lookalike.sources import media as readers
 from lookalike.streaming import events
 
@@ -258,6 +258,24 @@ def listing_files(spark, d):
     return found.select(F.regexp_extract("path", r"(\d+)\.[^.]+$", 1).cast("bigint").alias("vec_id"), F.regexp_extract("path", r"label(\d+)/", 1).cast("int").alias("label"), "size")
 
 
+@query(
+    """WITH e AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1) SELECT 'deleted' AS status, sum(n)::bigint AS files FROM e WHERE label = 1 UNION ALL SELECT 'failed', 1
+  UNION ALL SELECT 'trashed', sum(n)::bigint FROM e WHERE label = 2 UNION ALL SELECT 'moved', sum(n)::bigint FROM e WHERE label = 4 UNION ALL SELECT 'left', sum(n)::bigint FROM e WHERE label NOT IN (1, 2)"""
+)
+def file_actions(spark, d):
+    """Files of one label are deleted, of another trashed, of a third moved; one path to delete isn't there."""
+    rows = t.table(spark, d, "embeddings")
+    name = F.concat(F.lit("label"), F.col("label").cast("string"), F.lit("/"), F.col("vec_id").cast("string"), F.lit(".bin"))
+    folder = t.as_files(rows.select(name, F.lit(b"x")), "actions")
+    listed = files.listing(spark, [folder])
+    label = lambda k: listed.where(F.col("path").contains(f"/label{k}/"))
+    gone = actions.delete(label(1).select("path").union(spark.createDataFrame([(folder + "/none",)], "path string"))).select("status")
+    away = actions.trash(label(2), folder + "/.trash").select(F.lit("trashed").alias("status"))
+    moved = actions.move(views.move_plan(label(4), folder + "/kept")).select("status")
+    left = t.staged(files.listing(spark, [folder]).select(F.lit("left").alias("status")))
+    return gone.union(away).union(moved).union(left).groupBy("status").agg(F.count("*").alias("files"))
+
+
 @query(
     f"""WITH g AS (SELECT vec_id, {t.CELLS} AS g FROM embeddings), {t.SHARP}
 SELECT vec_id, '8x8' AS resolution, 1 AS frames, sharpness, dhash FROM sh JOIN dh USING (vec_id)"""

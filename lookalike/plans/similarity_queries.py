@@ -9,6 +9,7 @@ from lookalike.functions import image
 from lookalike.operators import similarity as sim
 from lookalike.plans import tables as t
 from lookalike.plans.catalog_queries import _GOOD
+from lookalike.session import cached_table, result_key
 from lookalike.sources import media
 
 Q: dict = {}
@@ -156,6 +157,14 @@ def watermark_scores(spark, d):
     return image.measured(ok.select("path", grids.alias("film")), "film", "watermark").withColumn("watermark", F.round("watermark", 6))
 
 
+@query(f"WITH {_ACCEPTED} SELECT a, b, round(sim, 6) AS sim FROM edge")
+def edges_cached(spark, d):
+    """The similarity graph under a name that follows the files and the settings: made once, then read."""
+    key = result_key(t.current(spark, d, ["size", "mtime"]), "visual", t.SLIDER)
+    found = cached_table(edges_accept_visual(spark, d), key, "edges-visual")
+    return found.select("a", "b", "sim")
+
+
 @query()
 def edges_by_cells(spark, d):
     """The similarity graph as it is made beyond the number of frames up to which it is exact."""

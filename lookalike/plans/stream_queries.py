@@ -68,6 +68,15 @@ def fs_stream_prune(spark, d):
     return ingest.delete(t.current(spark, d, ["size"], None), gone).select("path", "mode")
 
 
+@query(
+    f"""WITH {t.EVENTS}, s AS (SELECT path, ts, kind, CASE WHEN ts - lag(ts) OVER (PARTITION BY path ORDER BY ts, kind) < INTERVAL 90 SECOND THEN 0 ELSE 1 END AS new FROM ev WHERE ts IS NOT NULL),
+r AS (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY ts, kind ROWS UNBOUNDED PRECEDING) AS run FROM s)
+SELECT path, epoch_us(min(ts)) AS at, arg_max(kind, (ts, kind)) AS event_type, count(*) AS events FROM r GROUP BY path, run"""
+)
+def fs_debounced(spark, d):
+    return events.debounced(t.table(spark, d, "fs_log"), "90 seconds")
+
+
 @query(f"WITH {t.CUR}, {t.LAST} SELECT path FROM gone WHERE path NOT IN (SELECT path FROM cur WHERE mode = 'faces')")
 def fs_removed_unlisted(spark, d):
     """Files that went away and that a fresh listing doesn't have again."""

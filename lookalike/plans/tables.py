@@ -65,6 +65,12 @@ def content_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return image.measured(framed(current(spark, folder, ["vector"])).drop("mode"), "picture", "content_ratio")
 
 
+def staged(rows: DataFrame) -> DataFrame:
+    from lookalike.session import stage_table
+
+    return stage_table(rows, "rows")
+
+
 def as_files(rows: DataFrame, name: str) -> str:
     """Write rows (name, content) as files below a new folder that all workers share; the folder."""
     from lookalike.session import new_folder

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import gc
+import hashlib
 import io
 import os
+import resource
 import tempfile
 import time
 import uuid
@@ -15,6 +17,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _made: dict[str, SparkSession] = {}
@@ -94,20 +97,35 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cached_table(df: DataFrame, key: str) -> DataFrame:
+def result_key(files: DataFrame, *settings: object) -> str:
+    """A name that changes with the files (path, size, mtime) in any order, and with the settings, like folders, mode and
+    threshold. One combining aggregation."""
+    digest = F.md5(F.concat_ws("_", "path", F.col("size").cast("string"), F.col("mtime").cast("string")))
+    part = lambda at: F.bit_xor(F.conv(F.substring(digest, at, 15), 16, 10).cast("bigint"))
+    state = files.agg(F.count("*"), part(1), part(16)).first()
+    return hashlib.md5(repr((tuple(state), settings)).encode(), usedforsecurity=False).hexdigest()
+
+
+def cached_table(df: DataFrame, key: str, family: str | None = None) -> DataFrame:
     """The table stored under a key in the shared folder, made from df if it isn't there yet. The key must
-    change with the inputs, like a fingerprint of the catalog with mode and threshold."""
+    change with the inputs, as `result_key` does. Of a family, like a mode, only the newest table is kept."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lookalike/cache/{key}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    base = f"{shared_dir(spark)}/lookalike/cache" + (f"/{family}" if family else "")
+    path = f"{base}/{key}"
+    to_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = to_path(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not system.exists(to_path(path + "/_SUCCESS")):
         df.write.mode("overwrite").parquet(path)
+        for other in system.listStatus(to_path(base)) if family else ():
+            if other.getPath().getName() != key:
+                system.delete(other.getPath(), True)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
-def phase(spark: SparkSession, name: str, seconds: dict[str, float] | None = None) -> Iterator[None]:
-    """Names the jobs started inside, so that `cancel(spark, name)` ends them, and adds up their time."""
+def phase(spark: SparkSession, name: str, seconds: dict[str, float] | None = None, memory: dict[str, float] | None = None) -> Iterator[None]:
+    """Names the jobs started inside, so that `cancel(spark, name)` ends them, adds up their time, and notes the MB that
+    the driver's heap and its Python hold at the end. A stream pauses by stopping: its checkpoint goes on where it was."""
     began = time.monotonic()
     spark.sparkContext.setJobGroup(name, name, interruptOnCancel=True)
     try:
@@ -116,6 +134,9 @@ def phase(spark: SparkSession, name: str, seconds: dict[str, float] | None = Non
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
         if seconds is not None:
             seconds[name] = seconds.get(name, 0.0) + time.monotonic() - began
+        if memory is not None:
+            heap = spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+            memory[name] = (heap.totalMemory() - heap.freeMemory()) / 2**20 + resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
 
 
 def cancel(spark: SparkSession, name: str) -> None:

@@ -34,6 +34,14 @@ def coalesced(events: DataFrame, window: str = "1 second") -> DataFrame:
     return grouped.select(F.unix_micros("w.start").alias("at"), "path", "event_type", "events")
 
 
+def debounced(events: DataFrame, gap: str = "300 milliseconds") -> DataFrame:
+    """(path, at, event_type, events): of a run of events of one path with less than `gap` between them only the last
+    counts. On a stream, with a watermark, a run ends as event time passes."""
+    last = F.max_by("event_type", F.struct("ts", "event_type")).alias("event_type")
+    runs = cleaned(events).where(F.col("ts").isNotNull()).groupBy(F.session_window("ts", gap).alias("w"), "path").agg(last, F.count("*").alias("events"))
+    return runs.select("path", F.unix_micros("w.start").alias("at"), "event_type", "events")
+
+
 def last_states(events: DataFrame, arrival: bool = False) -> DataFrame:
     """(path, event_type, at[, got]): the last event of each path by time, by arrival, then by type."""
     last = F.max(F.struct(F.unix_micros("ts").alias("at"), F.unix_micros("received_at").alias("got"), "event_type")).alias("e")

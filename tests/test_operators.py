@@ -398,7 +398,43 @@ def test_features_embed_and_pick(spark, tmp_path):
 def test_phases_and_cached_tables(spark):
     from lookalike.session import cached_table, phase
 
-    took, key = {}, f"test-{time.time_ns()}"
-    with phase(spark, "count", took):
+    took, held, key = {}, {}, f"test-{time.time_ns()}"
+    with phase(spark, "count", took, held):
         assert cached_table(spark.range(3), key).count() == 3
-    assert took["count"] > 0 and cached_table(spark.range(9), key).count() == 3
+    assert took["count"] > 0 and held["count"] > 10 and cached_table(spark.range(9), key).count() == 3
+
+
+def test_results_are_kept_until_files_or_settings_change(spark):
+    from lookalike.session import cached_table, result_key, shared_dir
+
+    rows = spark.createDataFrame([("/a", 1, 1.0), ("/b", 2, 2.0)], "path string, size bigint, mtime double")
+    key = result_key(rows, "visual", 0.5)
+    assert key == result_key(rows.orderBy(F.desc("path")), "visual", 0.5)
+    assert len({key, result_key(rows, "faces", 0.5), result_key(rows, "visual", 0.6), result_key(rows.limit(1), "visual", 0.5)}) == 4
+    family = f"family-{time.time_ns()}"
+    assert cached_table(spark.range(3), "one", family).count() == 3 and cached_table(spark.range(4), "one", family).count() == 3
+    assert cached_table(spark.range(4), "two", family).count() == 4 and cached_table(spark.range(5), "one", family).count() == 5
+    assert shared_dir(spark)
+
+
+def test_actions_on_files(spark, tmp_path):
+    from lookalike.sources import actions
+
+    for name in ("a", "b", "c", "d/e", "kept/c"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    paths = lambda *names: spark.createDataFrame([(str(tmp_path / n),) for n in names], "path string")
+    assert {r.path[-1]: r.status for r in actions.delete(paths("link", "d", "z", "link")).collect()} == {"k": "deleted", "d": "deleted", "z": "failed"}
+    assert (tmp_path / "a").exists() and not (tmp_path / "d").exists() and not (tmp_path / "link").is_symlink()
+    assert [r.status for r in actions.trash(paths("a"), str(tmp_path / "away")).collect()] == ["deleted"]
+    assert [p.read_text() for p in (tmp_path / "away").iterdir()] == ["a"]
+    plan = views.move_plan(paths("b", "c"), str(tmp_path / "kept"))
+    assert {r.path[-1]: r.status for r in actions.move(plan).collect()} == {"b": "moved", "c": "failed"}
+    assert (tmp_path / "kept" / "c").read_text() == "kept/c" and (tmp_path / "c").exists()
+
+
+def test_runs_of_events_count_once(spark):
+    rows = [(at(1), "/a", "created", None), (at(2), "/a", "modified", None), (at(5), "/a", "deleted", None), (at(1), "/b", "moved", None), (None, "/b", "moved", None)]
+    got = {(r.path, r.event_type, r.events) for r in events.debounced(spark.createDataFrame(rows, events.SCHEMA), "2 seconds").collect()}
+    assert got == {("/a", "modified", 2), ("/a", "deleted", 1), ("/b", "moved", 1)}
