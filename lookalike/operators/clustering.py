@@ -25,19 +25,20 @@ def leaders(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     ways = ways.join(ranked.toDF("path", "mine"), "path").join(ranked.toDF("other", "theirs"), "other")
     ways = stage_table(ways.select("path", "other", "sim", F.col("theirs").alias("rank"), (F.col("theirs") < F.col("mine")).alias("up")), "ways")
     left, chosen = ways.select("path", "other", "up"), None
-    while not left.isEmpty():
-        tops = left.groupBy("path").agg(F.max("up").alias("held")).where(~F.col("held")).select("path")
-        tops = stage_table(tops, "tops")
-        chosen = tops if chosen is None else chosen.union(tops)
-        taken = left.join(tops, "path", "left_semi").select(F.col("other").alias("path")).union(tops).distinct()
-        taken = stage_table(taken, "taken")
-        free = left.join(taken, "path", "left_anti")
-        rest = stage_table(free.join(taken.toDF("other"), "other", "left_anti").select("path", "other", "up"), "left")
+    while True:
+        # Of each undecided file: whether it leads in this round, and whether it or a neighbour does.
+        tops = left.groupBy("path").agg((~F.max("up")).alias("top"))
+        met = left.join(tops.toDF("other", "by"), "other").groupBy("path").agg((~F.max("up")).alias("top"), F.max("by").alias("by"))
+        state = stage_table(met.select("path", "top", (F.col("top") | F.col("by")).alias("taken")), "state")
+        free = state.where(~F.col("taken")).select("path")
+        rest = stage_table(left.join(free, "path", "left_semi").join(free.toDF("other"), "other", "left_semi").select("path", "other", "up"), "left")
         # A file all of whose neighbours have been taken leads too, and neighbours that rank it first are its own.
-        chosen = chosen.union(free.select("path").distinct().join(rest.select("path").distinct(), "path", "left_anti"))
+        alone = free.join(rest.select("path").distinct(), "path", "left_anti")
+        leading = state.where("top").select("path").union(alone)
+        chosen = leading if chosen is None else chosen.union(leading)
+        if rest.isEmpty():
+            break
         left = rest
-    if chosen is None:
-        return ways.select(F.col("other").alias("leader"), "path", "sim").limit(0).toDF("leader", "path", "similarity")
     heads = stage_table(chosen, "leaders")
     below = ways.join(heads.toDF("other"), "other").join(heads, "path", "left_anti")
     own = below.groupBy("path").agg(F.min_by(F.struct("other", "sim"), "rank").alias("best")).select(F.col("best.other").alias("leader"), "path", F.col("best.sim").alias("similarity"))

@@ -63,25 +63,36 @@ def in_blocks(frames: DataFrame, block: int) -> DataFrame:
     return sent.select("at.i", "at.j", "own", "path", "frame", "vec")
 
 
-def two_blocks(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+def unit_vectors(column: pa.ListArray, mean: list[float] | None) -> np.ndarray:
+    """The vectors of a column as doubles: as they are without a mean; else less the mean, at unit length, as `centred`."""
+    vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    if mean is None:
+        return vectors
+    vectors -= np.array(mean)
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    return vectors / np.where(norms > 0, norms, 1.0)
+
+
+def two_blocks(rows: pa.Table, mean: list[float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
     """(vectors, rows of the one block, rows of the other, order of each row's path, paths, frame numbers)."""
     own = rows.column("own").to_numpy()
     left, right = np.flatnonzero(own == rows.column("i")[0].as_py()), np.flatnonzero(own == rows.column("j")[0].as_py())
-    vectors = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+    vectors = unit_vectors(rows.column("vec").combine_chunks(), mean)
     path = rows.column("path").combine_chunks()
     coded = path.dictionary_encode()
     order = np.argsort(np.argsort(np.array(coded.dictionary.to_pylist(), dtype=object), kind="stable"))
     return vectors, left, right, order[coded.indices.to_numpy()], path, rows.column("frame").to_numpy()
 
 
-def block_pairs(frames: DataFrame, least: float, block: int = BLOCK) -> DataFrame:
+def block_pairs(frames: DataFrame, least: float, block: int = BLOCK, mean: list[float] | None = None) -> DataFrame:
     """(a, fa, b, fb, cos), a < b: frame pairs of different paths with a cosine of at least `least`.
 
-    Exact: every two blocks meet in one group, and products are taken a slice of a block at a time.
+    Exact: every two blocks meet in one group, and products are taken a slice of a block at a time. With a mean,
+    vectors travel as they are and are centred where they are multiplied; without, they have unit length.
     """
 
     def products(rows: pa.Table) -> pa.Table:
-        vectors, left, right, order, path, frame = two_blocks(rows)
+        vectors, left, right, order, path, frame = two_blocks(rows, mean)
         found: list[tuple[np.ndarray, ...]] = []
         for lo in range(0, len(left), 1024):
             part = left[lo : lo + 1024]
@@ -106,7 +117,7 @@ def nearest_frames(frames: DataFrame, k: int = NEIGHBOURS, block: int = BLOCK) -
     """
 
     def best_of(rows: pa.Table) -> pa.Table:
-        vectors, left, right, order, path, frame = two_blocks(rows)
+        vectors, left, right, order, path, frame = two_blocks(rows, None)
         sides = [(left, right)] if np.array_equal(left, right) else [(left, right), (right, left)]
         found: list[tuple[np.ndarray, ...]] = []
         for one, other in sides:
@@ -138,26 +149,25 @@ def nearest_frames_hashed(frames: DataFrame, radius: float, bucket: float = 0.6,
     return near.select(F.col("datasetA.path").alias("a"), F.col("datasetA.frame").alias("fa"), F.col("datasetB.path").alias("b"), F.col("datasetB.frame").alias("fb"), cos.alias("cos"))
 
 
-def cell_pairs(frames: DataFrame, least: float, cells: int | None = None, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
+def cell_pairs(frames: DataFrame, least: float, cells: int | None = None, probes: int = PROBES, block: int = BLOCK, mean: list[float] | None = None) -> DataFrame:
     """(a, fa, b, fb, cos), a < b: as block_pairs, for frame counts beyond the exact join; some pairs are missed.
 
     Some frames, 4,096 at most, are centres. A frame lives in the cell of its nearest centre and visits those of its
     `probes` nearest; the visitors of a cell are held against those who live there. Inhabitants of a large cell
     are dealt into blocks, each of which all visitors see, so no task holds more than a block of them; a frame is
-    sent out `probes` times, however many frames there are. frames: path, frame, vec of unit length, on disk.
+    sent out `probes` times, however many frames there are. frames: path, frame, vec, on disk.
     """
     cells = cells or min(MOST_CELLS, frames.count() // IN_CELL + 1)
-    centres = frames.orderBy(F.xxhash64("path", "frame")).limit(cells).select("vec").collect()
-    if not centres:
+    centres = frames.orderBy(F.xxhash64("path", "frame")).limit(cells).select("vec").toArrow().column("vec").combine_chunks()
+    if not len(centres):
         return frames.select(F.col("path").alias("a"), F.col("frame").alias("fa"), F.col("path").alias("b"), F.col("frame").alias("fb"), F.lit(0.0).alias("cos")).limit(0)
-    points = np.array([r.vec for r in centres], np.float32)
+    points = unit_vectors(centres, mean).astype(np.float32)
 
     def visit(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2000):
                 part = batch.slice(lo, 2000)
-                vectors = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1).astype(np.float32)
-                dots = vectors @ points.T
+                dots = unit_vectors(part.column("vec"), mean).astype(np.float32) @ points.T
                 k = min(probes, len(points))
                 near = np.argpartition(-dots, k - 1, axis=1)[:, :k]
                 home = near[np.arange(len(near)), np.take_along_axis(dots, near, 1).argmax(axis=1)]
@@ -167,8 +177,8 @@ def cell_pairs(frames: DataFrame, least: float, cells: int | None = None, probes
                     [pa.array(cell, pa.int32()), pa.array(cell == home[rows]), *(part.column(c).take(pa.array(rows)) for c in ("path", "frame", "vec"))], names=["cell", "lives", "path", "frame", "vec"]
                 )
 
-    schema = "cell int, lives boolean, path string, frame int, vec array<double>"
-    visits = frames.select("path", F.col("frame").cast("int").alias("frame"), F.col("vec").cast("array<double>").alias("vec")).mapInArrow(visit, schema)
+    rows = frames.select("path", F.col("frame").cast("int").alias("frame"), "vec")
+    visits = rows.mapInArrow(visit, f"cell int, lives boolean, path string, frame int, vec {frames.schema['vec'].dataType.simpleString()}")
     counts = visits.where("lives").groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("many"))
     visits = visits.join(counts, "cell")
     own = F.pmod(F.xxhash64("path", "frame"), F.col("many")).cast("int")
@@ -177,7 +187,7 @@ def cell_pairs(frames: DataFrame, least: float, cells: int | None = None, probes
 
     def products(rows: pa.Table) -> pa.Table:
         lives = rows.column("lives").to_numpy(zero_copy_only=False)
-        vectors = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(lives), -1)
+        vectors = unit_vectors(rows.column("vec").combine_chunks(), mean)
         path, frame = rows.column("path").combine_chunks(), rows.column("frame").to_numpy()
         names = np.array(path.to_pylist(), dtype=object)
         here, found = np.flatnonzero(lives), [np.zeros((3, 0))]
@@ -252,10 +262,9 @@ def verified(items: DataFrame, slider: float, mode: str = "visual", vectors: str
     """(a, b, peak, coverage, multi, sim) of all pairs of items that pass the prefilter; beyond `exact_frames` frames
     of nearly all. The frames are staged once for their mean, their number and the pairs."""
     plain = stage_table(frames(items, vectors, dims), "frames")
-    unit = centred(plain)
     _, prefilter = bars(slider, mode)
     join = block_pairs if plain.count() <= exact_frames else cell_pairs
-    pairs = join(unit, min(prefilter, SAME_FRAME) if mode == "visual" else prefilter)
+    pairs = join(plain, min(prefilter, SAME_FRAME) if mode == "visual" else prefilter, mean=mean_vector(plain))
     counts = plain.groupBy("path").agg(F.count("*").alias("frames"))
     return peak_and_coverage(pairs, counts, gated=mode == "visual").where(F.col("peak") >= prefilter)
 
