@@ -274,7 +274,7 @@ def classes(catalog: DataFrame) -> DataFrame:
 
 
 SQL = {
-    "p4_found": f"""WITH cur AS (SELECT path, phash, dhash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan DESC NULLS LAST) AS rn
+    "p4_found": f"""WITH cur AS (SELECT path, phash, dhash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan DESC NULLS LAST, size DESC NULLS LAST, mtime DESC NULLS LAST) AS rn
     FROM metadata WHERE mode = 'visual' AND path IS NOT NULL) WHERE rn = 1),
   hs AS (SELECT DISTINCT path, h FROM (SELECT path, unnest(dhash) AS h FROM cur) WHERE bit_count(h) BETWEEN 5 AND 59),
   n AS (SELECT path, count(*) AS n FROM hs GROUP BY 1),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lookalike.catalog import current_rows
-from lookalike.session import release, stage_table
+from lookalike.session import stage_table
 
 STRONG, WEAK, FRAME_BITS = 0.5925, 0.4125, 4
 LEAST_BITS, MOST_BITS = 5, 59
@@ -98,7 +98,6 @@ def components(links: DataFrame) -> DataFrame:
         forest = gone if forest is None else forest.union(gone)
         kept = pointed.join(choice.select("n", "best"), "n").where(F.col("m") != F.col("best"))
         graph = stage_table(both_ways(kept.select(F.col("best").alias("u"), F.col("m").alias("v"))), "graph")
-        release(graph.sparkSession)
     if forest is None:
         return links.select(F.col("u").alias("node"), F.col("u").alias("seed")).limit(0)
     tree = stage_table(forest, "forest")
@@ -137,7 +136,7 @@ def _normal_sql(end: str) -> str:
 
 
 SQL = {
-    "p3_found": f"""WITH RECURSIVE cur AS (SELECT path, dhash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan DESC NULLS LAST) AS rn
+    "p3_found": f"""WITH RECURSIVE cur AS (SELECT path, dhash FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan DESC NULLS LAST, size DESC NULLS LAST, mtime DESC NULLS LAST) AS rn
     FROM metadata WHERE mode = 'visual' AND path IS NOT NULL) WHERE rn = 1),
   hs AS (SELECT path, h FROM (SELECT path, unnest(dhash) AS h FROM cur) WHERE bit_count(h) BETWEEN {LEAST_BITS} AND {MOST_BITS}),
   e AS (SELECT {_normal_sql('a')} AS a, {_normal_sql('b')} AS b, max(sim) AS sim FROM edges WHERE a <> '' AND b <> '' AND NOT isnan(sim) AND sim >= {WEAK} GROUP BY 1, 2),

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ RUN = 13
 #: Word positions that the mask reads where no word may differ; it ignores the others. Cut to the item where that is shorter.
 #: Equal words hash equally under any mask, so one finds every overlap; verification reads all positions.
 EXACT_MASK = "1101101110111"
-#: Bytes of evaluation text that one pass over the corpus holds at most.
-BLOCK_BYTES = 16_000_000
+#: Bytes of evaluation text in a block at most, and blocks that one pass over the corpus holds.
+BLOCK_BYTES, BLOCKS_AT_ONCE = 16_000_000, 4
 
 _UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
 _BROKEN = re.compile("(?<=[^\\W_])[-\u2010][ \t]*(?:\r\n|[\n\r\x0b\x0c\x85\u2028\u2029])[ \t]*(?=[^\\W_])")
@@ -138,27 +138,29 @@ def overlaps(
     any mask, and wherever the substitutions are, one of the masks of `masks_for` ignores them. So an item of
     no more words than `wrong` overlaps with every document that has as many.
     Null, empty and wordless texts on either side overlap with nothing; rows without an id are passed
-    over; repeated items count as one each; other columns are not read. The corpus is scanned once per
-    block of items, whole texts, without a shuffle but for dropping repeats; a block's size is checked.
+    over; repeated items count as one each; other columns are not read. The corpus is scanned once for every
+    4 blocks of items, whole texts, without a shuffle but for dropping repeats; a block's size is checked.
     """
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, words int, substitutions int"
     found = spark.createDataFrame([], schema)
-    for block in blocks(items, block_bytes):
-        sent = spark.sparkContext.broadcast(block)
+    given = blocks(items, block_bytes)
+    while held := [spark.sparkContext.broadcast(block) for block in islice(given, BLOCKS_AT_ONCE)]:
 
-        def scan(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = Index(sent.value, run, masks or masks_for(wrong, run))
-            known = index.vocabulary
+        def scan(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            indexes = [Index(sent.value, run, masks or masks_for(wrong, run)) for sent in held]
             for batch in batches:
                 doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
                 for lo in range(0, len(texts), 2000):
-                    each = [np.array([known.get(w, -1) for w in words(t)], np.int64) for t in texts[lo : lo + 2000]]
+                    each = [words(t) for t in texts[lo : lo + 2000]]
                     lengths = np.array([len(e) for e in each], np.int64)
-                    ids, ends = np.concatenate([*each, np.zeros(0, np.int64)]), np.cumsum(lengths)
-                    doc = np.repeat(np.arange(len(each)), lengths)
-                    kept = index.verify(ids, ends - lengths, ends, index.hits(ids, doc, ends), wrong)
-                    rows = [(doc_ids[lo + d], index.ids[i], n, s) for d, i, n, s in kept]
+                    ends, doc = np.cumsum(lengths), np.repeat(np.arange(len(each)), lengths)
+                    rows = []
+                    for index in indexes:
+                        known = index.vocabulary
+                        ids = np.fromiter((known.get(w, -1) for e in each for w in e), np.int64, len(doc))
+                        kept = index.verify(ids, ends - lengths, ends, index.hits(ids, doc, ends), wrong)
+                        rows += [(doc_ids[lo + d], index.ids[i], n, s) for d, i, n, s in kept]
                     yield pa.RecordBatch.from_pylist([dict(zip(("doc_id", "item_id", "words", "substitutions"), r)) for r in rows], OUT)
 
         part = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text").mapInArrow(scan, schema)

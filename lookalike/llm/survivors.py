@@ -90,7 +90,7 @@ _CURRENT = """
 WITH cur AS (
   SELECT path, resolution, size, mtime, watermark FROM (
     SELECT *, row_number() OVER (PARTITION BY path ORDER BY last_scan DESC NULLS LAST,
-      resolution DESC NULLS LAST, size DESC NULLS LAST, mtime DESC NULLS LAST, watermark DESC NULLS LAST) AS rn
+      size DESC NULLS LAST, mtime DESC NULLS LAST, resolution DESC NULLS LAST, watermark DESC NULLS LAST) AS rn
     FROM metadata WHERE mode = 'visual' AND path IS NOT NULL) WHERE rn = 1),
 r AS (
   SELECT path, watermark,
