@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import hashlib
 import io
 import os
 import resource
 import tempfile
+import threading
 import time
 import uuid
 import zipfile
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 _made: dict[str, SparkSession] = {}
+_lock, _inside, _found = threading.Lock(), 0, None
 #: Removes the shuffle files of a query when it ends; not in every version of Spark.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -66,19 +67,33 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Jobs inside remove their shuffle files when they end. Threads may be inside at once: the setting that was found is
+    put back when the last has left."""
+    global _inside, _found
+    with _lock:
+        _inside += 1
+        if _inside == 1:
+            _found = spark.conf.get(CLEAN_UP, None)
+            if _found is not None:
+                spark.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            _inside -= 1
+            if not _inside and _found is not None:
+                spark.conf.set(CLEAN_UP, _found)
+
+
 def stage_table(df: DataFrame, name: str) -> DataFrame:
     """Write df as a Parquet table to the shared folder and read it back: later steps neither repeat
     its lineage nor depend on any one executor. The table goes when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lookalike/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
-    before = spark.conf.get(CLEAN_UP, None)
-    if before is not None:  # the table is written: nothing reads this job's shuffles again
-        spark.conf.set(CLEAN_UP, "true")
-    try:
+    with shuffles_removed(spark):  # the table is written: nothing reads this job's shuffles again
         df.write.parquet(path)
-    finally:
-        if before is not None:
-            spark.conf.set(CLEAN_UP, before)
     _made[path] = spark
     return spark.read.schema(df.schema).parquet(path)
 
@@ -90,13 +105,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> None:
-    """Drop the shuffle files of frames that are no longer referenced. Spark removes them when the driver
-    collects its garbage, which between the rounds of an iteration may be much later than the disks fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def result_key(files: DataFrame, *settings: object) -> str:
     """A name that changes with the files (path, size, mtime) in any order, and with the settings, like folders, mode and
     threshold. One combining aggregation."""
