@@ -75,7 +75,10 @@ def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     with _lock:
         _inside += 1
         if _inside == 1:
-            _found = spark.conf.get(CLEAN_UP, None)
+            try:
+                _found = spark.conf.get(CLEAN_UP)  # with a default it would say nothing of settings left as they are
+            except Exception:
+                _found = None
             if _found is not None:
                 spark.conf.set(CLEAN_UP, "true")
     try:
