@@ -44,15 +44,16 @@ def ids_array(ids: list[list[int]]) -> pa.Array:
     return pa.array(ids, pa.list_(pa.int32()))
 
 
-def boundaries(text: str) -> list[int]:
-    """Where pre-tokens begin, but for those after white space: a run of it is split by what follows,
+_PRE_TOKENS = regex.compile(PATTERN)
+
+
+def boundaries(text: str, least: int = 0) -> Iterator[int]:
+    """Where pre-tokens begin, from `least` on, but for those after white space: a run of it is split by what follows,
     so a piece that ended there would be pre-tokenised in another way."""
-    cuts, after_space = [], False
-    for m in regex.finditer(PATTERN, text):
-        if not after_space:
-            cuts.append(m.start())
-        after_space = m.group().isspace()
-    return cuts
+    for m in _PRE_TOKENS.finditer(text):
+        at = m.start()
+        if at >= least and not (at and text[at - 1].isspace()):
+            yield at
 
 
 def piece_starts(text: str, chunk: int, overlap: int) -> list[int]:
@@ -65,9 +66,9 @@ def piece_starts(text: str, chunk: int, overlap: int) -> list[int]:
         stop = at
         while True:
             stop = min(len(text), at + max(overlap, 2 * (stop - at)))
-            before = {begun + c for c in boundaries(text[begun:stop])}
+            before = set(boundaries(text[begun:stop], at - begun))
             # Cut at different places: where a text is cut, a contraction may seem to have a boundary inside.
-            joint = next((at + c for c in boundaries(text[at : stop + LONGEST_CONTRACTION]) if at + c in before), None)
+            joint = next((at + c for c in boundaries(text[at : stop + LONGEST_CONTRACTION]) if at - begun + c in before), None)
             if joint is not None or stop == len(text):
                 break
         if joint is None:
@@ -125,7 +126,7 @@ def encode_spread(rows: DataFrame, vocabulary: str, chunk: int, overlap: int) ->
         for batch in batches:
             heads, tails = [], []
             for at, last, part in zip(*(batch.column(c).to_pylist() for c in ("at", "last", "part"))):
-                cuts = boundaries(part)
+                cuts = list(boundaries(part))
                 heads.append([at + c for c in cuts if c <= overlap])
                 tails.append([] if last else [at + c for c in cuts if c >= chunk])
             added = [pa.array(x, pa.list_(pa.int64())) for x in (heads, tails)]
