@@ -67,6 +67,18 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def shuffle_partitions(spark: SparkSession) -> int:
+    """For shuffles before work in Python: few bytes there may be much work, so they are not to be coalesced by size."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A table as it was read, over at least as many partitions as there are cores: the rows of a small file, which one
+    task would read, are dealt out before work in Python. Larger tables are left as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 @contextmanager
 def shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Jobs inside remove their shuffle files when they end. Threads may be inside at once: the setting that was found is
