@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.llm import vectors as V
-from lookalike.session import stage_table
+from lookalike.session import shuffle_partitions, stage_table
 
 LEAST = 0.82
 #: Neighbours by which a node introduces others to each other in a round of descent.
@@ -191,7 +191,7 @@ def measured(members: DataFrame, packed: DataFrame, dims: int = V.DIMS, block: i
         if held:
             yield closed(pa.Table.from_batches(held))
 
-    in_order = sent.repartition(*keys).sortWithinPartitions(*keys)
+    in_order = sent.repartition(shuffle_partitions(members.sparkSession), *keys).sortWithinPartitions(*keys)
     each = in_order.mapInArrow(measure, "community bigint, cid bigint, sum double, least double")
     return each.groupBy("community", "cid").agg(F.sum("sum").alias("sum"), F.min("least").alias("least"))
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lookalike.catalog import current_rows
 from lookalike.llm.groups import FRAME_BITS, usable
-from lookalike.session import stage_table
+from lookalike.session import shuffle_partitions, stage_table
 
 AGREEMENT = 0.5
 RECALL = 0.9995
@@ -141,7 +141,7 @@ def met(rows: DataFrame, bits: int, hot: int) -> DataFrame:
         yield closed(held)
 
     place = F.expr(f"shiftright(key, 4 * ({DEPTH} - shallow))")
-    return rows.repartition(place).sortWithinPartitions("key").mapInArrow(walk, "x bigint, y bigint, key bigint").distinct()
+    return rows.repartition(shuffle_partitions(rows.sparkSession), place).sortWithinPartitions("key").mapInArrow(walk, "x bigint, y bigint, key bigint").distinct()
 
 
 def in_blocks(held: DataFrame, bits: int, block: int) -> DataFrame:
@@ -213,7 +213,7 @@ def similar_sets(sets: DataFrame, agreement: float = AGREEMENT, bits: int = FRAM
     """
     frames = stage_table(sets.select("cls", F.size("hashes").alias("n"), F.explode("hashes").alias("h")), "frames")
     counts = frames.groupBy("h").agg(F.count("*").alias("sets"))
-    hashes = stage_table(counts, "hashes")
+    hashes = stage_table(counts.repartition(shuffle_partitions(sets.sparkSession), "h"), "hashes")
     near = near_hashes(hashes, bits).union(hashes.select("h", "h"))
     rare = Window.partitionBy("cls").orderBy("sets", "h")
     asked = frames.join(hashes, "h").withColumn("rank", F.row_number().over(rare))

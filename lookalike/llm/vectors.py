@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lookalike.catalog import current_rows
-from lookalike.session import stage_table
+from lookalike.session import shuffle_partitions, stage_table
 
 DIMS = 64
 MODES = ("visual", "faces")
@@ -113,7 +113,7 @@ def contents(catalog: DataFrame, dims: int = DIMS) -> tuple[DataFrame, DataFrame
     number = F.when(F.col("mode") == MODES[0], 0).otherwise(1)
     lists = read.where(F.col("cid").isNotNull()).select("cid", number.alias("number"), own_frames().alias("frames"))
     # Partitioned first: one shuffle serves both dropping repeats and the join.
-    once = lists.mapInArrow(pack, "cid bigint, mode int, frames binary").repartition("cid").dropDuplicates(["cid"])
+    once = lists.mapInArrow(pack, "cid bigint, mode int, frames binary").repartition(shuffle_partitions(catalog.sparkSession), "cid").dropDuplicates(["cid"])
     packed = stage_table(once.join(records.select("cid").distinct(), "cid", "left_semi"), "packed")
     return stage_table(records.join(packed.select("cid"), "cid", "left_semi").select("mode", "path", "cid"), "contents"), packed
 
@@ -276,7 +276,7 @@ def bucket_mates(rows: DataFrame, bar: float, hot: int) -> DataFrame:
             held = [r[cut:] for r in rows]
         yield closed(held)
 
-    return rows.repartition("place").sortWithinPartitions("place").mapInArrow(compare, "a bigint, b bigint, place bigint").distinct()
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "place").sortWithinPartitions("place").mapInArrow(compare, "a bigint, b bigint, place bigint").distinct()
 
 
 def candidate_pairs(packed: DataFrame, current: DataFrame, least: float, keep: int, shape: Shape = Shape(), dims: int = DIMS, hot: int = HOT_BUCKET) -> DataFrame:
