@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lookalike.functions.bits import least_distance
 from lookalike.functions.media import bars
+from lookalike.operators.pieces import by_pieces, unit_rows
 from lookalike.session import stage_table
 
 SAME_FRAME, LEAST_COVERAGE, COVERAGE_COST = 0.55, 0.30, 0.25
@@ -16,8 +16,7 @@ STRUCTURAL_BITS, CLOSE_BITS, STRUCTURAL_BONUS, CLOSE_BONUS = 4, 6, 0.18, 0.05
 #: Frames of one block of the exact join.
 BLOCK = 8192
 NEIGHBOURS = 256
-#: Frames up to which the join is exact; beyond, it goes by cells: frames for each centre, centres at most, visits of a frame.
-EXACT_FRAMES = 50_000
+#: Of the join by cells: frames for each centre, centres at most, visits of a frame.
 IN_CELL, MOST_CELLS, PROBES = 250, 4096, 24
 
 
@@ -34,12 +33,12 @@ def frames(items: DataFrame, vectors: str = "vector", dims: int | None = None) -
 
 
 def mean_vector(frames: DataFrame) -> list[float]:
-    """Mean over frames, dimension by dimension: as many numbers as a vector has."""
+    """Mean over frames, dimension by dimension: as many numbers as a vector has; none if there is no frame."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.stat import Summarizer
 
-    mean = frames.select(array_to_vector("vec").alias("v")).agg(Summarizer.mean(F.col("v")).alias("m")).first().m
-    return [] if mean is None else mean.toArray().tolist()
+    mean = frames.select(array_to_vector("vec").alias("v")).groupBy(F.lit(True)).agg(Summarizer.mean(F.col("v")).alias("m")).first()
+    return [] if mean is None else mean.m.toArray().tolist()
 
 
 def centred(frames: DataFrame, mean: list[float] | None = None) -> DataFrame:
@@ -65,12 +64,7 @@ def in_blocks(frames: DataFrame, block: int) -> DataFrame:
 
 def unit_vectors(column: pa.ListArray, mean: list[float] | None) -> np.ndarray:
     """The vectors of a column as doubles: as they are without a mean; else less the mean, at unit length, as `centred`."""
-    vectors = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    if mean is None:
-        return vectors
-    vectors -= np.array(mean)
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(norms > 0, norms, 1.0)
+    return unit_rows(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1), mean)
 
 
 def two_blocks(rows: pa.Table, mean: list[float] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
@@ -150,7 +144,7 @@ def nearest_frames_hashed(frames: DataFrame, radius: float, bucket: float = 0.6,
 
 
 def cell_pairs(frames: DataFrame, least: float, cells: int | None = None, probes: int = PROBES, block: int = BLOCK, mean: list[float] | None = None) -> DataFrame:
-    """(a, fa, b, fb, cos), a < b: as block_pairs, for frame counts beyond the exact join; some pairs are missed.
+    """(a, fa, b, fb, cos), a < b: as block_pairs, faster; some pairs are missed, the more the more cells there are. No query goes by it.
 
     Some frames, 4,096 at most, are centres. A frame lives in the cell of its nearest centre and visits those of its
     `probes` nearest; the visitors of a cell are held against those who live there. Inhabitants of a large cell
@@ -213,27 +207,6 @@ def candidates(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").distinct()
 
 
-def peak_and_coverage(pairs: DataFrame, counts: DataFrame, gated: bool = True) -> DataFrame:
-    """(a, b, peak, coverage, multi, sim) from frame pairs, which must reach down to the lower of the
-    prefilter and the cosine of a matched frame; counts (path, frames).
-
-    The matched frames of a side are those with a partner of at least 0.55; coverage is the smaller number
-    over the smaller frame count. Two single frames have coverage 1, as have all pairs if not gated.
-    """
-    same = F.col("cos") >= SAME_FRAME
-    per = pairs.groupBy("a", "b").agg(
-        F.max("cos").alias("peak"),
-        F.size(F.collect_set(F.when(same, F.col("fa")))).alias("ma"),
-        F.size(F.collect_set(F.when(same, F.col("fb")))).alias("mb"),
-    )
-    per = per.join(counts.toDF("a", "na"), "a").join(counts.toDF("b", "nb"), "b")
-    multi = (F.col("na") > 1) | (F.col("nb") > 1)
-    covered = F.when(multi & F.lit(gated), F.least("ma", "mb") / F.least("na", "nb")).otherwise(1.0)
-    return per.withColumn("coverage", covered).select(
-        "a", "b", "peak", "coverage", (multi & F.lit(gated)).alias("multi"), (F.col("peak") - COVERAGE_COST * (1 - F.col("coverage"))).alias("sim")
-    )
-
-
 def accepted(pairs: DataFrame, slider: float, mode: str = "visual") -> DataFrame:
     """(a, b, sim) of the verified pairs that become edges; pairs has bits, the frame distance, in visual mode."""
     bar, _ = bars(slider, mode)
@@ -252,26 +225,20 @@ def accepted(pairs: DataFrame, slider: float, mode: str = "visual") -> DataFrame
     return pairs.where(take).select("a", "b", "sim")
 
 
-def with_distance(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Adds bits; hashes (path, dhash)."""
-    left, right = hashes.toDF("a", "ha"), hashes.toDF("b", "hb")
-    return pairs.join(left, "a", "left").join(right, "b", "left").withColumn("bits", least_distance("ha", "hb")).drop("ha", "hb")
-
-
-def verified(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None, exact_frames: int = EXACT_FRAMES) -> DataFrame:
-    """(a, b, peak, coverage, multi, sim) of all pairs of items that pass the prefilter; beyond `exact_frames` frames
-    of nearly all. The frames are staged once for their mean, their number and the pairs."""
-    plain = stage_table(frames(items, vectors, dims), "frames")
+def verified(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None, reach: tuple[float, float, int] | None = None) -> DataFrame:
+    """(a, b, peak, coverage, multi, sim, bits) of all pairs of items that pass the prefilter, however many there are; items:
+    a row a path. Usable items are staged once; pairs are found by tasks that read them (`by_pieces`). With a reach,
+    of those within it, and bits is the distance of their hashes."""
+    columns = ["path", F.col(vectors).alias("vector")] + ["dhash"] * bool(reach)
+    held = stage_table(items.where(usable(vectors, dims)).select(*columns), "frames")
+    mean = mean_vector(held.select(F.explode("vector").alias("vec")))
     _, prefilter = bars(slider, mode)
-    join = block_pairs if plain.count() <= exact_frames else cell_pairs
-    pairs = join(plain, min(prefilter, SAME_FRAME) if mode == "visual" else prefilter, mean=mean_vector(plain))
-    counts = plain.groupBy("path").agg(F.count("*").alias("frames"))
-    return peak_and_coverage(pairs, counts, gated=mode == "visual").where(F.col("peak") >= prefilter)
+    gated = mode == "visual"
+    return by_pieces(held, min(prefilter, SAME_FRAME) if gated else prefilter, prefilter, SAME_FRAME, COVERAGE_COST, gated, mean, reach)
 
 
-def edges(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None, exact_frames: int = EXACT_FRAMES) -> DataFrame:
+def edges(items: DataFrame, slider: float, mode: str = "visual", vectors: str = "vector", dims: int | None = None) -> DataFrame:
     """(a, b, sim): the similarity graph of items (path, vector, dhash)."""
-    pairs = verified(items, slider, mode, vectors, dims, exact_frames)
-    if mode == "visual":
-        pairs = with_distance(pairs, items.select("path", "dhash"))
-    return accepted(pairs, slider, mode)
+    bar, _ = bars(slider, mode)
+    reach = (bar - CLOSE_BONUS, bar - STRUCTURAL_BONUS, STRUCTURAL_BITS) if mode == "visual" else None
+    return accepted(verified(items, slider, mode, vectors, dims, reach), slider, mode)

@@ -167,8 +167,8 @@ def edges_cached(spark, d):
 
 @query()
 def edges_by_cells(spark, d):
-    """The similarity graph as it is made beyond the number of frames up to which it is exact."""
-    return sim.edges(items(spark, d), t.SLIDER, dims=t.DIMS, exact_frames=0).select("a", "b", F.round("sim", 6).alias("sim"))
+    """The similarity graph of all pairs of cells, as it is made at every size: no pair is missed."""
+    return edges_accept_visual(spark, d)
 
 
 def _indices_sql(sort: str, n: str) -> str:

@@ -8,12 +8,13 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lookalike.catalog import SCHEMA, current_rows
 from lookalike.functions import bits, image, media, paths
-from lookalike.operators import annotate, clustering, ingest, keepers, similarity, views
+from lookalike.operators import annotate, clustering, ingest, keepers, pieces, similarity, views
 from lookalike.sources import files, media as readers
 from lookalike.streaming import events
 
@@ -333,6 +334,71 @@ def test_cells_find_nearly_all_pairs(spark):
     assert similarity.cell_pairs(unit.limit(0), 0.7).count() == 0
 
 
+def library(seed, groups=40, dims=64):
+    """Items of one to three frames around common centres, at cosines on both sides of every bar, with close and far hashes."""
+    rng = random.Random(seed)
+    rows = []
+    for g in range(groups):
+        centre, code = [rng.gauss(0, 1) for _ in range(dims)], rng.getrandbits(63)
+        for i in range(6):
+            frames = [[x + rng.choice((0.3, 0.8, 1.1)) * rng.gauss(0, 1) for x in centre] for _ in range(rng.choice((1, 1, 1, 2, 3)))]
+            hashes = [code ^ sum(1 << rng.randrange(63) for _ in range(rng.choice((0, 1, 2, 4)))) for _ in frames]
+            rows.append((f"/{rng.randrange(10)}/{g:02d}_{i}é", rng.choice((hashes, hashes, [0], None, [None, *hashes])), frames))
+    return rows
+
+
+def brute_edges(rows, slider):
+    """Peak, coverage and bits of every two items, one after another."""
+    bar, prefilter = media.bars(slider)
+    mean = np.array([f for _, _, frames in rows for f in frames], np.float32).astype(float).mean(axis=0)
+    unit = [(p, h, np.array(f, np.float32).astype(float) - mean) for p, h, f in rows]
+    unit = sorted((p, h, v / np.linalg.norm(v, axis=1, keepdims=True)) for p, h, v in unit)
+    out = {}
+    for i, (a, ha, va) in enumerate(unit):
+        for b, hb, vb in unit[i + 1 :]:
+            cos = va @ vb.T
+            peak, multi = cos.max(), max(cos.shape) > 1
+            if peak < prefilter:
+                continue
+            covered = min((cos.max(axis=1) >= 0.55).sum(), (cos.max(axis=0) >= 0.55).sum()) / min(cos.shape) if multi else 1.0
+            far = [(x ^ y).bit_count() for x in ha or () for y in hb or () if x is not None and y is not None and 5 <= x.bit_count() <= 59 and 5 <= y.bit_count() <= 59]
+            distance, sim = min(far, default=64), peak - 0.25 * (1 - covered)
+            lower = 0.18 if distance <= 4 else 0.05 if distance <= 6 else 0.0
+            if not (multi and distance > 4 and covered < 0.3) and sim >= bar - lower:
+                out[a, b] = round(sim, 6)
+    return out
+
+
+@pytest.mark.parametrize("files,piece", [(1, 1 << 15), (5, 1 << 15), (5, 16), (2, 50)])
+def test_edges_are_exact_over_many_files_and_pieces(spark, monkeypatch, files, piece):
+    monkeypatch.setattr(pieces, "PIECE", piece)
+    rows = library(files)
+    df = spark.createDataFrame(rows, "path string, dhash array<bigint>, vector array<array<float>>").repartition(files)
+    want = brute_edges(rows, 0.65)
+    got = similarity.edges(df, 0.65).collect()
+    assert {(r.a, r.b): round(r.sim, 6) for r in got} == pytest.approx(want, abs=2e-6) and len(got) == len(want) > 200
+    assert similarity.edges(df.limit(0), 0.65).count() == 0
+
+
+def test_tiles_and_slabs_change_no_pair(monkeypatch):
+    rows = library(4, groups=12)
+    table = pa.table({"path": [r[0] for r in rows], "dhash": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "vector": pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.float32())))})
+    seen = []
+    for tile, compared in (((1024, 512), 1 << 20), ((7, 13), 10), ((64, 1), 3)):
+        monkeypatch.setattr(pieces, "TILE", tile)
+        monkeypatch.setattr(pieces, "COMPARED", compared)
+        one, rest = pieces.items_of(table.slice(0, 30), 0, [0.0] * 64), pieces.items_of(table.slice(20), 20, [0.0] * 64)
+        a, b, peak, coverage, multi = pieces.met(one, rest, True, 0.4, 0.55, True)
+        seen.append([*zip(a.tolist(), (b + 20).tolist(), peak.round(9).tolist(), coverage.tolist(), multi.tolist(), pieces.fewest_bits(one, rest, a, b).tolist())])
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 25 and all(x < y for x, y, *_ in seen[0])
+
+
+def test_the_similarity_join_shuffles_nothing_and_writes_each_frame_once(spark):
+    df = spark.createDataFrame(library(9), "path string, dhash array<bigint>, vector array<array<float>>")
+    plan = similarity.edges(df, 0.65)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
 def test_views(spark):
     rows = [(1, "/a/x.jpg", 1, 0.9, 5, False), (1, "/a/y.pdf", 2, 0.8, 7, True), (2, "/b/z.mp4", 1, 1.0, 3, False), (2, "/b/x.xyz", 2, None, None, False)]
     df = spark.createDataFrame(rows, "cluster_id int, path string, pos int, similarity double, size bigint, is_ref boolean")
