@@ -20,7 +20,8 @@ def leaders(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     """
     rank = F.struct((-F.coalesce("size", F.lit(0))).alias("s"), F.col("path").alias("p"))
     ranked = sizes.groupBy("path").agg(F.max("size").alias("size")).select("path", rank.alias("rank"))
-    ways = edges.select("a", "b", "sim").union(edges.select("b", "a", "sim")).toDF("path", "other", "sim").where(F.col("path") != F.col("other"))
+    both = F.array(F.struct(F.col("a").alias("path"), F.col("b").alias("other"), "sim"), F.struct(F.col("b").alias("path"), F.col("a").alias("other"), "sim"))
+    ways = edges.select(F.explode(both).alias("way")).select("way.*").where(F.col("path") != F.col("other"))  # edges are made once, not for each side
     ways = ways.groupBy("path", "other").agg(F.max("sim").alias("sim"))
     ways = ways.join(ranked.toDF("path", "mine"), "path").join(ranked.toDF("other", "theirs"), "other")
     ways = stage_table(ways.select("path", "other", "sim", F.col("theirs").alias("rank"), (F.col("theirs") < F.col("mine")).alias("up")), "ways")

@@ -170,7 +170,7 @@ def by_pieces(held: DataFrame, least: float, prefilter: float, matched: float, c
     piece = min(PIECE, max(1024, total // (2 * cores)))
     files, cuts = [r.file for r in counted], []
     for i, r in enumerate(counted):
-        many = -(-r.frames // piece)
+        many = max(1, round(r.frames / piece))  # so files a little larger than a piece are not read twice as often
         cuts += [(i, r.n * k // many, r.n * (k + 1) // many) for k in range(many)]
     #: The tasks of a piece are those files that come no earlier than its own.
     ends = np.cumsum([len(files) - i for i, _, _ in cuts], dtype=np.int64)

@@ -399,6 +399,23 @@ def test_the_similarity_join_shuffles_nothing_and_writes_each_frame_once(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
+@pytest.mark.parametrize("name", ["leader_clusters"])
+def test_clusters_make_their_edges_once(spark, monkeypatch, name):
+    from harness import DATA
+    from lookalike.plans import registry
+
+    plans, stage = {}, clustering.stage_table
+
+    def noted(df, table):
+        plans.setdefault(table, df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, table)
+
+    monkeypatch.setattr(clustering, "stage_table", noted)
+    assert registry.QUERIES[name](spark, DATA).count() > 0
+    ways = plans["ways"].split("Initial Plan")[0]
+    assert ways.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in ways
+
+
 def test_views(spark):
     rows = [(1, "/a/x.jpg", 1, 0.9, 5, False), (1, "/a/y.pdf", 2, 0.8, 7, True), (2, "/b/z.mp4", 1, 1.0, 3, False), (2, "/b/x.xyz", 2, None, None, False)]
     df = spark.createDataFrame(rows, "cluster_id int, path string, pos int, similarity double, size bigint, is_ref boolean")
