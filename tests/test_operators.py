@@ -399,7 +399,7 @@ def test_the_similarity_join_shuffles_nothing_and_writes_each_frame_once(spark):
     assert "Exchange" not in plan and "Join" not in plan
 
 
-@pytest.mark.parametrize("name", ["leader_clusters"])
+@pytest.mark.parametrize("name", ["leader_clusters", "duplicate_report"])
 def test_clusters_make_their_edges_once(spark, monkeypatch, name):
     from harness import DATA
     from lookalike.plans import registry
