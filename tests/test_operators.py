@@ -397,6 +397,8 @@ def test_the_similarity_join_shuffles_nothing_and_writes_each_frame_once(spark):
     df = spark.createDataFrame(library(9), "path string, dhash array<bigint>, vector array<array<float>>")
     plan = similarity.edges(df, 0.65)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+    plan = similarity.verified(df, 0.65)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
 
 
 @pytest.mark.parametrize("name", ["leader_clusters", "duplicate_report"])
