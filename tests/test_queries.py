@@ -20,3 +20,10 @@ def test_same_rows_as_sql(spark, con, name):
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
 def test_gives_rows(spark, name):
     assert registry.QUERIES[name](spark, DATA).count() > 0
+
+
+def test_edges_by_cells_miss_no_pair(spark, con):
+    query = registry.QUERIES["edges_by_cells"]
+    got, want = compare(spark, con, query, registry.SQL["edges_accept_visual"])
+    assert got == want
+    assert "FlatMapGroupsInArrow" not in query(spark, DATA)._jdf.queryExecution().executedPlan().toString()
