@@ -18,13 +18,14 @@ def leaders(edges: DataFrame, sizes: DataFrame) -> DataFrame:
     leads, its neighbours are members, and both leave. Files of one round decide independently. Each
     round is a few joins and a staged table; nothing is gathered on the driver.
     """
-    rank = F.struct((-F.coalesce("size", F.lit(0))).alias("s"), F.col("path").alias("p"))
-    ranked = sizes.groupBy("path").agg(F.max("size").alias("size")).select("path", rank.alias("rank"))
+    ranked = sizes.groupBy("path").agg(F.max("size").alias("size")).select("path", (-F.coalesce("size", F.lit(0))).alias("rank"))
     both = F.array(F.struct(F.col("a").alias("path"), F.col("b").alias("other"), "sim"), F.struct(F.col("b").alias("path"), F.col("a").alias("other"), "sim"))
     ways = edges.select(F.explode(both).alias("way")).select("way.*").where(F.col("path") != F.col("other"))  # edges are made once, not for each side
-    ways = ways.groupBy("path", "other").agg(F.max("sim").alias("sim"))
-    ways = ways.join(ranked.toDF("path", "mine"), "path").join(ranked.toDF("other", "theirs"), "other")
-    ways = stage_table(ways.select("path", "other", "sim", F.col("theirs").alias("rank"), (F.col("theirs") < F.col("mine")).alias("up")), "ways")
+    # Ways are shuffled once by each end: by path they are ranked and combined, by other ranked again. The first is asked for:
+    # before it Spark can't know how many they are, and would broadcast them all.
+    ways = ways.repartition("path").join(ranked.toDF("path", "mine"), "path").groupBy("path", "other", "mine").agg(F.max("sim").alias("sim"))
+    ways = ways.join(ranked.toDF("other", "rank"), "other")
+    ways = stage_table(ways.select("path", "other", "sim", "rank", (F.struct("rank", "other") < F.struct("mine", "path")).alias("up")), "ways")
     left, chosen = ways.select("path", "other", "up"), None
     while True:
         # Of each undecided file: whether it leads in this round, and whether it or a neighbour does.
@@ -42,7 +43,8 @@ def leaders(edges: DataFrame, sizes: DataFrame) -> DataFrame:
         left = rest
     heads = stage_table(chosen, "leaders")
     below = ways.join(heads.toDF("other"), "other").join(heads, "path", "left_anti")
-    own = below.groupBy("path").agg(F.min_by(F.struct("other", "sim"), "rank").alias("best")).select(F.col("best.other").alias("leader"), "path", F.col("best.sim").alias("similarity"))
+    own = below.groupBy("path").agg(F.min_by(F.struct("other", "sim"), F.struct("rank", "other")).alias("best")).select(F.col("best.other").alias("leader"), "path", F.col("best.sim").alias("similarity"))
+    own = stage_table(own, "members")  # ways are gone through once for members and leaders
     led = own.select("leader").distinct().select("leader", F.col("leader").alias("path"), F.lit(1.0).alias("similarity"))
     return own.union(led)
 

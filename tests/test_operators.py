@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import re
 import time
 import zipfile
 import zlib
@@ -418,6 +419,24 @@ def test_clusters_make_their_edges_once(spark, monkeypatch, name):
     assert ways.count("MapInArrow") == 1 and "FlatMapGroupsInArrow" not in ways
 
 
+def test_report_shuffles_ways_and_facts_once_by_path(spark, monkeypatch):
+    from harness import DATA
+    from lookalike.plans import registry
+
+    plans, stage = {}, clustering.stage_table
+
+    def noted(df, table):
+        plans.setdefault(table, df._jdf.queryExecution().executedPlan().toString())
+        return stage(df, table)
+
+    monkeypatch.setattr(clustering, "stage_table", noted)
+    last = registry.QUERIES["duplicate_report"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(path#\d+, (other|mode)#", plans["ways"] + last)
+    above = [x for x in plans["ways"].split("MapInArrow")[0].splitlines() if "Exchange" in x]
+    assert "REPARTITION_BY_COL" in above[-1]  # ways are shuffled before any join: none is planned on a guess of their number
+    assert "other" in plans["members"] and "other" not in last  # the report reads the members that were staged, not the ways
+
+
 def test_views(spark):
     rows = [(1, "/a/x.jpg", 1, 0.9, 5, False), (1, "/a/y.pdf", 2, 0.8, 7, True), (2, "/b/z.mp4", 1, 1.0, 3, False), (2, "/b/x.xyz", 2, None, None, False)]
     df = spark.createDataFrame(rows, "cluster_id int, path string, pos int, similarity double, size bigint, is_ref boolean")
