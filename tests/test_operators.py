@@ -437,6 +437,17 @@ def test_report_shuffles_ways_and_facts_once_by_path(spark, monkeypatch):
     assert "other" in plans["members"] and "other" not in last  # the report reads the members that were staged, not the ways
 
 
+def test_pairs_are_rounded_as_by_round_without_decimals(spark):
+    from harness import DATA
+    from lookalike.plans import registry
+    from lookalike.plans.similarity_queries import six_places
+
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(float(x),) for x in [0, 0.25, 1 / 3, 0.4125, 1, 1 + 2e-16, *rng.random(20_000)]], "x double")
+    assert df.where(F.round("x", 6) != six_places("x")).count() == 0
+    assert "round(" not in registry.QUERIES["pair_peak_coverage"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_views(spark):
     rows = [(1, "/a/x.jpg", 1, 0.9, 5, False), (1, "/a/y.pdf", 2, 0.8, 7, True), (2, "/b/z.mp4", 1, 1.0, 3, False), (2, "/b/x.xyz", 2, None, None, False)]
     df = spark.createDataFrame(rows, "cluster_id int, path string, pos int, similarity double, size bigint, is_ref boolean")
