@@ -167,7 +167,7 @@ def watermark_scores(spark, d):
 def edges_cached(spark, d):
     """The similarity graph under a name that follows the files and the settings: made once, then read."""
     key = result_key(t.current(spark, d, ["size", "mtime"]), "visual", t.SLIDER)
-    found = cached_table(edges_accept_visual(spark, d), key, "edges-visual")
+    found = cached_table(lambda: edges_accept_visual(spark, d), key, "edges-visual", spark)
     return found.select("a", "b", "sim")
 
 

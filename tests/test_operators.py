@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import os
 import random
 import re
 import time
@@ -437,6 +438,18 @@ def test_report_shuffles_ways_and_facts_once_by_path(spark, monkeypatch):
     assert "other" in plans["members"] and "other" not in last  # the report reads the members that were staged, not the ways
 
 
+def test_kept_edges_are_read_without_staging_frames_again(spark, monkeypatch):
+    from harness import DATA
+    from lookalike.plans import registry, similarity_queries
+
+    staged, stage = [], similarity.stage_table
+    monkeypatch.setattr(similarity, "stage_table", lambda df, name: staged.append(name) or stage(df, name))
+    monkeypatch.setattr(similarity_queries, "result_key", lambda *_: f"edges-{id(staged)}-{os.getpid()}")
+    first = sorted(map(tuple, registry.QUERIES["edges_cached"](spark, DATA).collect()))
+    assert first and staged == ["frames"]
+    assert sorted(map(tuple, registry.QUERIES["edges_cached"](spark, DATA).collect())) == first and staged == ["frames"]
+
+
 def test_pairs_are_rounded_as_by_round_without_decimals(spark):
     from harness import DATA
     from lookalike.plans import registry
